@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import byte_bpe, token_files, warc
+from inkstream.llm import avi, byte_bpe, token_files, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_read(spark, sf_dir, "pages")).drop("url")
 
 
+def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = avi.media_column(_read(spark, sf_dir, "documents"), "doc_id")
+    return avi.features(media, "doc_id", "n_bytes")
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op10_avi": op10_avi,
 }
 
 ORACLE_SQL: dict[str, str] = {
