@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import avi, byte_bpe, order_minhash, token_files, warc
+from inkstream.llm import avi, byte_bpe, order_minhash, token_files, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,15 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_order_minhash": op9_order_minhash,
     "op10_avi": op10_avi,
 }
