@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import avi, byte_bpe, jaccard_join, order_minhash, token_files, toxicity, warc
+from inkstream.llm import avi, byte_bpe, jaccard_join, mixing, order_minhash, substring_dedup, token_files, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"), "text")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), jaccard_join.Rule(n=3, num=90, den=100))
 
@@ -40,15 +45,22 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "source", *[F.col(f"__{c}").alias(n) for c, n in (("tokens", "n_tokens"), ("weight", "weight"), ("copies", "copies"), ("block", "block"), ("place", "place"))])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_files": op3_token_files,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_order_minhash": op9_order_minhash,
     "op10_avi": op10_avi,
