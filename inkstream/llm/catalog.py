@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import avi, byte_bpe, jaccard_join, mixing, order_minhash, substring_dedup, token_files, toxicity, warc
+from inkstream.llm import avi, byte_bpe, jaccard_join, lm_scoring, mixing, order_minhash, substring_dedup, token_files, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents"), lm_scoring.held_out(F.col("doc_id")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "source", *[F.col(f"__{c}").alias(n) for c, n in (("tokens", "n_tokens"), ("weight", "weight"), ("copies", "copies"), ("block", "block"), ("place", "place"))])
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_order_minhash": op9_order_minhash,
