@@ -132,9 +132,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     cut = repeats(keyed.select("doc_id", "text", F.col("__key").alias("key")))
-    joined = keyed.join(materialize(cut.withColumnRenamed("key", "__cut")), F.col("__key") == F.col("__cut"), "left")
+    joined = keyed.join(materialize(cut.select(F.col("key").alias("__cut"), F.col("runs").alias("__runs"))), F.col("__key") == F.col("__cut"), "left")
     columns = [c for c in docs.columns if c != "text"]
-    renamed = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "text", "runs")
+    renamed = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "text", F.col("__runs").alias("runs"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
