@@ -10,6 +10,7 @@ trailer (bits, documents, tokens, blocks, footer offset as int64; magic).
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -117,27 +118,38 @@ class WordEncoder:
     in turn. ``limit`` bounds what is remembered.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000, group: int = 200):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if "\\s" not in json.dumps(spec["pre_tokenizer"]) or '"Removed"' not in json.dumps(spec["pre_tokenizer"]):
             raise ValueError("this tokenizer keeps white space")
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.group, self.known = Tokenizer.from_file(path), limit, group, {}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode words, many joined by spaces at a time; a token's offset tells its word."""
+        for i in range(0, len(new), 100 * self.group):
+            some = [x.decode() for x in new[i : i + 100 * self.group]]
+            groups = [some[j : j + self.group] for j in range(0, len(some), self.group)]
+            for words, e in zip(groups, self.tokenizer.encode_batch(list(map(" ".join, groups)), add_special_tokens=False)):
+                starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+                cuts = np.searchsorted([a for a, _ in e.offsets], starts).tolist()
+                ids = np.array(e.ids, "<u4").tobytes()
+                self.known.update(zip([w.encode() for w in words], [ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = [x.replace(b"\n", b" ").split(b" ") for x in batch]
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in words]
+        found = [list(map(self.known.get, x)) for x in words]
+        holes = [k for k, x in enumerate(found) if None in x]
+        self.learn(list({w for k in holes for w, ids in zip(words[k], found[k]) if ids is None}))
+        for k in holes:
+            found[k] = list(map(self.known.__getitem__, words[k]))
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
