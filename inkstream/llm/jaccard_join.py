@@ -4,9 +4,10 @@
 2. Sizes fall into bands. In a band the hash space is cut into more tiles than a linked pair can differ in, so a linked
    pair has equal content in one tile at least. Tile contents are hashed, shuffled as packed arrays and matched. A
    class just above a band's lower end also visits the band below.
-3. The classes that share a tile's content form a group around the smallest. Each member is compared with that centre:
-   a count of bitmap bits bounds the overlap from above, then the sorted arrays are intersected.
-4. Members of a group that are not yet connected are compared with each other, in blocks, in the same way.
+3. The classes that share a tile's content form a group around the smallest. A member is compared with the centre that
+   it shares most tiles with, then with the next if it is not connected to that: a count of bitmap bits bounds the
+   overlap from above, then the sorted arrays are intersected.
+4. Members of a group that are still not connected are compared with each other, in blocks, in the same way.
 5. Components of the links found, over classes.
 """
 
@@ -28,8 +29,8 @@ from inkstream.llm.components import components
 
 BLOCK = 1024  # members of a group that one comparison task holds on each side
 BITS = 2048  # bits of a bitmap signature
+CENTRE_ROUNDS = 2  # comparisons with centres before the rest of a group is compared
 BROADCAST_ROWS = 500_000  # most rows that are broadcast, of a few longs each
-_WORDS: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -185,7 +186,7 @@ def _packed_tiles(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
 
 
 def _groups(packed: DataFrame, parts: int) -> DataFrame:
-    """Distinct (centre, member): for each tile content held by several classes, the smallest and each of the others."""
+    """(centre, member, tiles): for each tile content held by several classes, the smallest and each of the others."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
@@ -196,22 +197,16 @@ def _groups(packed: DataFrame, parts: int) -> DataFrame:
         centre = member[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
         found = centre != member
         pairs = pd.DataFrame({"centre": centre[found], "member": member[found]})
-        return pairs.drop_duplicates()
+        return pairs.groupby(["centre", "member"], as_index=False).size().rename(columns={"size": "tiles"})
 
-    return packed.repartition(parts, "part").groupBy("part").applyInPandas(match, "centre long, member long").distinct()
+    found = packed.repartition(parts, "part").groupBy("part").applyInPandas(match, "centre long, member long, tiles long")
+    return found.groupBy("centre", "member").agg(F.sum("tiles").alias("tiles"))
 
 
-def _arrays(docs: DataFrame, rule: Rule, wanted: DataFrame, columns: str) -> DataFrame:
-    """(class, shingles as bytes, the columns of ``wanted``) for the classes in ``wanted``, from one document of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            sets = [shingles(x, rule.n).tobytes() for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(sets, pa.binary())], names=[*[c for c in batch.schema.names if c != "text"], "shingles"])
-
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` with their document's text, which is smaller to shuffle than its hashes."""
     small = wanted.count() <= BROADCAST_ROWS
-    chosen = doc_rows(docs, "doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id").drop("doc_id")
-    return chosen.select(*[c.split()[0] for c in columns.split(", ")], "text").mapInArrow(run, f"{columns}, shingles binary")
+    return doc_rows(docs, "doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id").drop("doc_id")
 
 
 def _linked(a: np.ndarray, bits_a: np.ndarray, others: list[np.ndarray], sizes: np.ndarray, bitmaps: np.ndarray, rule: Rule) -> Iterator[int]:
@@ -224,9 +219,9 @@ def _linked(a: np.ndarray, bits_a: np.ndarray, others: list[np.ndarray], sizes:
 def _with_centre(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links of each group's members with its centre; rows come sorted so that a centre precedes its members."""
     at, s, bits = None, None, None
-    for batch in sliced(batches, "shingles"):
+    for batch in sliced(batches, "text"):
         found = []
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        sets = [shingles(x, rule.n) for x in texts(batch)]
         for group, salt, member, x in zip(batch.column("group").to_pylist(), batch.column("salt").to_pylist(), batch.column("member").to_pylist(), sets):
             if member == group:
                 at, s, bits = (group, salt), x, bitmap(x)
@@ -239,7 +234,7 @@ def _with_centre(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.R
 def _among(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """Links between members of two blocks of a group that lie in different components so far."""
     rows = rows.drop_duplicates("member")
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    sets = [shingles(x.encode(), rule.n) for x in rows["text"]]
     sizes, root, member = np.array([len(x) for x in sets]), rows["root"].to_numpy().copy(), rows["member"].to_numpy()
     maps = np.stack([bitmap(x) for x in sets])
     left = np.flatnonzero(rows["block"].to_numpy() == rows["one"].to_numpy())
@@ -257,6 +252,27 @@ def _among(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """``groups`` with the components, so far, of both ends."""
+    out = groups
+    for end in ("centre", "member"):
+        named = roots.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root"))
+        out = out.join(named, F.col(end) == F.col(f"{end}_node"), "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end)).drop(f"{end}_node")
+    return out
+
+
+def _centre_links(docs: DataFrame, best: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:
+    """Links of members (m) with the centre (group) chosen for each; centres of large groups are salted."""
+    spark = docs.sparkSession
+    best = best.withColumnRenamed("m", "member")
+    salts = best.groupBy(F.col("group").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    members = best.join(salts, F.col("group") == F.col("g")).select("group", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
+    centres = salts.select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("g").alias("member"))
+    placed = members.union(centres).join(first, F.col("member") == F.col("class")).select("doc_id", "group", "salt", "member")
+    rows = _with_texts(docs, materialize(placed)).repartition(partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", F.col("group") != F.col("member"))
+    return rows.mapInArrow(partial(_with_centre, rule=rule), "a long, b long")
+
+
 def links(docs: DataFrame, table_of_classes: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between classes with the same components as all linked pairs."""
     spark = docs.sparkSession
@@ -266,24 +282,27 @@ def links(docs: DataFrame, table_of_classes: DataFrame, rule: Rule) -> DataFrame
     first = table_of_classes.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     first = first.join(groups.select(F.col("member").alias("class")).union(groups.select("centre")).distinct(), "class")
     first = materialize(first)
-    salts = groups.groupBy(F.col("centre").alias("group")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    salts = materialize(salts)
-    sized = groups.join(salts, F.col("centre") == F.col("group")).select("group", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
-    centres = salts.select("group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("group").alias("member"))
-    placed = sized.union(centres).join(first, F.col("member") == F.col("class")).select("doc_id", "group", "salt", "member")
-    rows = _arrays(docs, rule, materialize(placed), "group long, salt int, member long")
-    rows = rows.repartition(partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", F.col("group") != F.col("member"))
-    found = materialize(rows.mapInArrow(partial(_with_centre, rule=rule), "a long, b long"))
-    roots = components(found)
-    apart = sized.union(centres.where("salt = 0")).join(roots, F.col("member") == F.col("node"), "left")
+    found, untested, left, roots = None, groups, groups, None
+    for _ in range(CENTRE_ROUNDS):
+        best = left.groupBy("member").agg(F.max(F.struct("tiles", (-F.col("centre")).alias("minus"))).alias("m"))
+        best = materialize(best.select((-F.col("m.minus")).alias("group"), F.col("member").alias("m")))
+        new = materialize(_centre_links(docs, best, first, rule))
+        found = new if found is None else found.union(new)
+        roots = materialize(components(found))
+        untested = materialize(untested.join(best, (F.col("centre") == F.col("group")) & (F.col("member") == F.col("m")), "left_anti"))
+        left = materialize(_apart(untested, roots).where("centre_root <> member_root").select("centre", "member", "tiles"))
+    members = groups.select(F.col("centre").alias("group"), "member").union(groups.select("centre", "centre").distinct())
+    apart = members.join(roots, F.col("member") == F.col("node"), "left")
     apart = materialize(apart.select("group", "member", F.coalesce("root", "member").alias("root")))
-    open_groups = apart.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2")
+    open_groups = apart.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    pairs = left.select(F.col("centre").alias("c")).distinct()
+    open_groups = open_groups.join(pairs, F.col("group") == F.col("c"), "left").where("n > 2 OR c IS NOT NULL")  # a tested pair is done
     open_groups = materialize(open_groups.select(F.col("group").alias("g"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     todo = apart.join(open_groups, F.col("group") == F.col("g")).join(first, F.col("member") == F.col("class"))
     todo = todo.select("doc_id", "group", "member", "root", "blocks", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     todo = todo.withColumn("other", F.explode(every)).select("doc_id", "group", "member", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    rows = _arrays(docs, rule, materialize(todo), "group long, member long, root long, block int, one int, two int")
+    rows = _with_texts(docs, materialize(todo))
     more = materialize(rows.groupBy("group", "one", "two").applyInPandas(partial(_among, rule=rule), "a long, b long"))
     return found.union(more)
 

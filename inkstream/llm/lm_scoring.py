@@ -31,7 +31,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -46,15 +46,14 @@ def held_out(doc_id: Column) -> Column:
 
 def tokens(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of texts one after the other, each with its end token, and each text's number of tokens."""
-    words = [x.lower().split() for x in batch]
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    flat = np.empty(int(sizes.sum()), np.uint64)
-    ends = np.cumsum(sizes) - 1
-    inner = np.ones(len(flat), bool)
-    inner[ends] = False
-    flat[inner] = np.fromiter((_HASHES[w] for x in words for w in x), np.uint64, len(flat) - len(words))
-    flat[ends] = END
-    return flat, sizes
+    parts = []
+    for x in batch:
+        words = x.lower().split()
+        part = np.empty(len(words) + 1, np.uint64)
+        part[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+        part[-1] = END
+        parts.append(part)
+    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -267,7 +266,7 @@ def _sum_up(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"], "part": rows["part"], "longer": rows["longer"], "n": rows["n"], "totals": kept, "types": [types * x for x in lead], "tokens": [all_ * x for x in lead]})
 
 
-def score(docs: DataFrame, held: Column, order: int = 2, block_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, held: Column, order: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
     The model is learnt from the documents for which ``held`` is false. Texts are lower-cased (A-Z) and split at white
