@@ -237,6 +237,25 @@ def money_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", f.alias("f")).select("doc_id", F.size("f").cast("long").alias("figures"), F.array_join("f", ";").alias("found"))
 
 
+#: Currencies, numbers and units of a figure.
+CURRENCY = r"(?:AED|USD|US\$|\$|€|£|Dhs|Dh)"
+NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
+UNIT = r"(?:%|per\s?cent|percent|bps|pp|p\.a\.|per\s+annum|bn|billion|million|trillion|tn|sq\.?\s?ft|sqft|psf)"
+FIGURE = rf"(?i){CURRENCY}?\s?{NUMBER}(?:\s*[-–]\s*{NUMBER})?\s*(?:{UNIT}|[mk]\b)?"
+NO_FIGURE = r"^\s*(?:[0-9]+|(?:19|20)[0-9]{2}\s*[-–]\s*(?:19|20)[0-9]{2})\s*$"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{FIGURE}')) AS f FROM documents),
+n AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(f), '[ \t\n\r]+', ' ', 'g')) AS f FROM m WHERE NOT regexp_matches(f, '{NO_FIGURE}'))
+SELECT doc_id, count(*) AS figures, string_agg(f, ';' ORDER BY f) AS found FROM n GROUP BY doc_id""")
+def evidence_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct normalised figures of each document that has any; bare integers and spans of years are none."""
+    found = F.filter(F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0)), lambda m: ~m.rlike(NO_FIGURE))
+    plain = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.trim(F.regexp_replace(F.lower(m), r"[ \t\n\r]+", " ")))))
+    rows = load(spark, sf_dir, "documents").select("doc_id", plain.alias("f")).where(F.size("f") > 0)
+    return rows.select("doc_id", F.size("f").cast("long").alias("figures"), F.array_join("f", ";").alias("found"))
+
+
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
