@@ -1,6 +1,6 @@
 """Substring deduplication over sliding runs of sentences.
 
-Every run of consecutive sentences that holds enough words is hashed. Within a task only the first occurrence of a hash
+For each sentence the shortest runs of enough words that begin and that end there are hashed; they cover every longer run. Within a task only the first occurrence of a hash
 goes on; the others are already known to be repeats. First occurrences are matched globally, and the sentences that any
 repeat covers are cut from their documents. The first occurrence, by doc_id and place, stays.
 """
@@ -35,7 +35,11 @@ def sentences(text: bytes) -> list[bytes]:
 
 
 def runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, length and hash of every run: from each sentence, the fewest sentences that hold enough words."""
+    """First sentence, length and hash of the shortest runs: the fewest sentences that begin, and that end, at each sentence.
+
+    Any run of several sentences with enough words is covered by such runs that lie inside it: a sentence too near its end
+    for one that begins there is in the one that ends with the run's last sentence.
+    """
     words = [x.lower().split() for x in pieces]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
@@ -43,8 +47,14 @@ def runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(counts > 0)
     length = np.maximum(np.searchsorted(total, total[first] + WORDS) - first, SENTENCES)
     length = np.where(counts[first] >= ALONE, 1, length)
+    last = np.flatnonzero((counts > 0) & (counts < ALONE))  # before a longer one every sentence begins a run
+    begin = np.minimum(np.searchsorted(total, total[last + 1] - WORDS, "right") - 1, last + 1 - SENTENCES)
+    ahead = np.full(len(pieces), 0)
+    ahead[first] = length
+    new = begin >= 0
+    new[new] = ahead[begin[new]] != (last + 1 - begin)[new]
     inside = first + length <= len(pieces)
-    first, length = first[inside], length[inside]
+    first, length = np.concatenate([first[inside], begin[new]]), np.concatenate([length[inside], (last + 1 - begin)[new]])
     value = np.zeros(len(first), np.uint64)
     for j in range(int(length.max(initial=0))):
         on = length > j
