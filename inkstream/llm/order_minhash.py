@@ -22,7 +22,6 @@ from inkstream.llm.common import doc_rows, partitions, ship, sliced, table
 K = 5
 SLOTS = 64
 LENGTH = 2
-POSITION_BITS = 20
 FIRST = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,10 +50,9 @@ def fingerprint(text: str) -> np.ndarray:
     if not len(codes):
         return np.zeros(SLOTS, np.uint16)
     h = kmers(codes)
-    bits = np.uint64(max(POSITION_BITS, (len(h) - 1).bit_length()))
     where = np.arange(len(h), dtype=np.uint64)
-    packed = np.sort((h >> bits << bits) | where)  # equal k-mers meet, in text order
-    kmer, position = packed >> bits, packed & ((np.uint64(1) << bits) - np.uint64(1))
+    position = np.argsort(h, kind="stable")  # equal k-mers meet, in text order
+    kmer = h[position]
     start = np.ones(len(h), bool)
     start[1:] = kmer[1:] != kmer[:-1]
     occurrence = where - np.maximum.accumulate(np.where(start, where, np.uint64(0)))
