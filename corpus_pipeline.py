@@ -19,11 +19,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of smallest doc_id of each group that five-word shingles link at a similarity of 0.8 or more.
 
     Documents without words, and those with a null doc_id and no link, are groups of their own. Where rows repeat a kept
-    doc_id, all of them stay.
+    doc_id, all of them stay; where they repeat that of a row that goes, each goes by its own text.
     """
-    groups = jaccard_join.join(docs, jaccard_join.Rule(n=5, num=80, den=100))
-    gone = materialize(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    groups = jaccard_join.join(docs, jaccard_join.Rule(n=5, num=80, den=100), "key")
+    gone = materialize(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("key").alias("__gone")).distinct())
+    return docs.join(gone, jaccard_join.row_key() == F.col("__gone"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.llm.common import doc_rows, materialize, partitions, ship, sliced, table, texts
@@ -136,16 +136,21 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[np.minimum(at, len(large) - 1)] == small).sum())
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows apart that differ in doc_id, null included, or in text."""
+    return F.xxhash64(F.col(doc_id).isNull(), doc_id, text)
+
+
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles and class of every document; a null text counts as empty."""
+    """doc_id, key (of the row), n_shingles and class of every document; a null text counts as empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = [shingles(x, rule.n) for x in texts(batch)]
-            yield table(doc_id=batch.column("doc_id"), n_shingles=pa.array(map(len, sets), pa.int64()), **{"class": pa.array(map(class_of, sets), pa.int64())})
+            yield table(doc_id=batch.column("doc_id"), key=batch.column("key"), n_shingles=pa.array(map(len, sets), pa.int64()), **{"class": pa.array(map(class_of, sets), pa.int64())})
 
-    return doc_rows(docs, "doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class long")
+    return doc_rows(docs, "doc_id", "text").withColumn("key", row_key()).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, class long")
 
 
 def _packed_tiles(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
@@ -204,9 +209,9 @@ def _groups(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` with their document's text, which is smaller to shuffle than its hashes."""
+    """The rows of ``wanted`` with their row's text, which is smaller to shuffle than its hashes."""
     small = wanted.count() <= BROADCAST_ROWS
-    return doc_rows(docs, "doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id").drop("doc_id")
+    return docs.select(row_key().alias("key"), "text").join(F.broadcast(wanted) if small else wanted, "key").drop("key")
 
 
 def _linked(a: np.ndarray, bits_a: np.ndarray, others: list[np.ndarray], sizes: np.ndarray, bitmaps: np.ndarray, rule: Rule) -> Iterator[int]:
@@ -223,6 +228,8 @@ def _with_centre(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.R
         found = []
         sets = [shingles(x, rule.n) for x in texts(batch)]
         for group, salt, member, x in zip(batch.column("group").to_pylist(), batch.column("salt").to_pylist(), batch.column("member").to_pylist(), sets):
+            if class_of(x) != member:  # rows of equal keys
+                continue
             if member == group:
                 at, s, bits = (group, salt), x, bitmap(x)
             elif at == (group, salt) and rule.enough(min(len(s), len(x)), len(s), len(x)):
@@ -233,8 +240,12 @@ def _with_centre(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.R
 
 def _among(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """Links between members of two blocks of a group that lie in different components so far."""
-    rows = rows.drop_duplicates("member")
     sets = [shingles(x.encode(), rule.n) for x in rows["text"]]
+    own = np.array([class_of(x) for x in sets]) == rows["member"].to_numpy()  # rows of equal keys
+    own &= ~rows["member"].where(own).duplicated().to_numpy()
+    rows, sets = rows[own], [x for x, kept in zip(sets, own.tolist()) if kept]
+    if not len(rows):
+        return pd.DataFrame([], columns=["a", "b"], dtype="int64")
     sizes, root, member = np.array([len(x) for x in sets]), rows["root"].to_numpy().copy(), rows["member"].to_numpy()
     maps = np.stack([bitmap(x) for x in sets])
     left = np.flatnonzero(rows["block"].to_numpy() == rows["one"].to_numpy())
@@ -268,7 +279,7 @@ def _centre_links(docs: DataFrame, best: DataFrame, first: DataFrame, rule: Rule
     salts = best.groupBy(F.col("group").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
     members = best.join(salts, F.col("group") == F.col("g")).select("group", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
     centres = salts.select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("g").alias("member"))
-    placed = members.union(centres).join(first, F.col("member") == F.col("class")).select("doc_id", "group", "salt", "member")
+    placed = members.union(centres).join(first, F.col("member") == F.col("class")).select("key", "group", "salt", "member")
     rows = _with_texts(docs, materialize(placed)).repartition(partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", F.col("group") != F.col("member"))
     return rows.mapInArrow(partial(_with_centre, rule=rule), "a long, b long")
 
@@ -279,7 +290,7 @@ def links(docs: DataFrame, table_of_classes: DataFrame, rule: Rule) -> DataFrame
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(partitions(spark), size // (8 << 20))
     groups = materialize(_groups(_packed_tiles(docs, rule, parts), parts))
-    first = table_of_classes.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first = table_of_classes.where("class >= 0").groupBy("class").agg(F.min("key").alias("key"))
     first = first.join(groups.select(F.col("member").alias("class")).union(groups.select("centre")).distinct(), "class")
     first = materialize(first)
     found, untested, left, roots = None, groups, groups, None
@@ -299,16 +310,16 @@ def links(docs: DataFrame, table_of_classes: DataFrame, rule: Rule) -> DataFrame
     open_groups = open_groups.join(pairs, F.col("group") == F.col("c"), "left").where("n > 2 OR c IS NOT NULL")  # a tested pair is done
     open_groups = materialize(open_groups.select(F.col("group").alias("g"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     todo = apart.join(open_groups, F.col("group") == F.col("g")).join(first, F.col("member") == F.col("class"))
-    todo = todo.select("doc_id", "group", "member", "root", "blocks", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    todo = todo.select("key", "group", "member", "root", "blocks", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    todo = todo.withColumn("other", F.explode(every)).select("doc_id", "group", "member", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    todo = todo.withColumn("other", F.explode(every)).select("key", "group", "member", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     rows = _with_texts(docs, materialize(todo))
     more = materialize(rows.groupBy("group", "one", "two").applyInPandas(partial(_among, rule=rule), "a long, b long"))
     return found.union(more)
 
 
-def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document.
+def join(docs: DataFrame, rule: Rule = Rule(), *keep: str) -> DataFrame:
+    """doc_id, ``keep`` (key: that of the row), n_shingles, component_id (the smallest doc_id reachable by links) of every document.
 
     Documents with equal shingle sets are linked. Those without words are linked with nothing and are components of
     their own; a null text counts as empty. Rows that repeat a doc_id are told apart by their texts alone; a document
@@ -322,4 +333,4 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lows = tied.where("node IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest")).withColumnRenamed("root", "r")
     lows = tied.where("node IS NOT NULL OR copies > 1").join(lows, F.col("root") == F.col("r"), "left")
     named = materialize(lows.select(F.col("class").alias("c"), F.coalesce("lowest", "low").alias("component")))
-    return rows.join(named, F.col("class") == F.col("c"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(named, F.col("class") == F.col("c"), "left").select("doc_id", *keep, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
