@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -45,7 +46,22 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = shared_dir(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = weakref.ref(out), path
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again; frames that ``materialize`` hasn't returned are passed over."""
+    for df in tables:
+        held, path = _WRITTEN.pop(id(df), (lambda: None, ""))
+        if held() is df:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

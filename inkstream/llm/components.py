@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import materialize
+from inkstream.llm.common import materialize, release
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,8 +18,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
-        large = _star(edges, larger=True)
-        edges = materialize(_star(large, larger=False))
+        last = edges
+        edges = materialize(_star(_star(edges, larger=True), larger=False))
+        release(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
         if now == before:
             break

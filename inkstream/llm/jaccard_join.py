@@ -1,14 +1,17 @@
 """Exact n-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
-1. A document becomes a sorted array of 64-bit shingle hashes. Documents with equal sets are one class.
+1. A document becomes a sorted array of 64-bit shingle hashes. Documents with equal sets are one class, which has a
+   size and a bitmap of two bits or more an element.
 2. Sizes fall into bands. In a band the hash space is cut into more tiles than a linked pair can differ in, so a linked
-   pair has equal content in one tile at least. Tile contents are hashed, shuffled as packed arrays and matched. A
-   class just above a band's lower end also visits the band below.
-3. The classes that share a tile's content form a group around the smallest. A member is compared with the centre that
-   it shares most tiles with, then with the next if it is not connected to that: a count of bitmap bits bounds the
-   overlap from above, then the sorted arrays are intersected.
-4. Members of a group that are still not connected are compared with each other, in blocks, in the same way.
-5. Components of the links found, over classes.
+   pair has equal contents in many tiles. A class just above a band's lower end also visits the band below.
+3. Tile contents are counted over the corpus. Where a pair differs in d elements at most, each of the two has a content
+   that both hold among its d + 1 rarest; the more common ones, such as stock phrases, are left out. Contents that a
+   bounded sample shows to be very common count as the most common of all and are not even shuffled.
+4. The classes that share a rare content form a group around the smallest. Sizes and bitmap bits bound the overlap of
+   each member with that centre from above; texts are fetched, and the sorted arrays intersected, for what is left.
+5. Members of a group that are still not connected are compared with each other by their bitmaps, in blocks. Those that
+   the bits alone would connect are compared by their arrays, again in blocks, once for all groups that they share.
+6. Components of the links found, over classes.
 """
 
 from __future__ import annotations
@@ -24,23 +27,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import doc_rows, materialize, partitions, ship, sliced, table, texts
+from inkstream.llm.common import doc_rows, materialize, partitions, release, ship, sliced, table, texts
 from inkstream.llm.components import components
 
 BLOCK = 1024  # members of a group that one comparison task holds on each side
-BITS = 2048  # bits of a bitmap signature
-CENTRE_ROUNDS = 2  # comparisons with centres before the rest of a group is compared
+SINGLE = 64  # up to this size each shingle is a tile of its own
+SAMPLE = 16_000  # about so many classes tell which tile contents are very common; changes cost, never links
+COMMON = 1_000  # a content that one class in so many of the sample holds is very common
+HELD = 2_000_000  # tile keys that a task gathers before it sends them on
 BROADCAST_ROWS = 500_000  # most rows that are broadcast, of a few longs each
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingles of ``n`` words; documents link when den * |A and B| >= num * |A or B|."""
+    """Shingles of ``n`` words; documents link when den * |A and B| >= num * |A or B|, which is more than half."""
 
     n: int = 5
     num: int = 80
     den: int = 100
 
+    def __post_init__(self):
+        if not self.den < 2 * self.num <= 2 * self.den:
+            raise ValueError("the similarity asked for must be over a half, and 1 at most")
+
     def enough(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
 
@@ -96,34 +105,67 @@ def bands() -> np.ndarray:
 BANDS = bands()
 
 
-def tile_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Hashes of (band, tile, content) for the bands in which the set can meet a linked one."""
-    own = int(np.searchsorted(BANDS, len(s), "right")) - 1
-    home = [own]
-    if own and len(s) * rule.num <= (BANDS[own] - 1) * rule.den:
-        home.append(own - 1)  # a linked set may be smaller than this band
-    keys = []
-    for band in home:
-        apart = rule.apart(int(BANDS[band + 1]) - 1)
-        tiles = apart + 1 + apart // 16 + (apart > 4)
+def home_bands(size: int, rule: Rule) -> list[int]:
+    """The bands in which a set can meet a linked one, its own first."""
+    home = [int(np.searchsorted(BANDS, size, "right")) - 1]
+    while home[-1] and size * rule.num <= (int(BANDS[home[-1]]) - 1) * rule.den:
+        home.append(home[-1] - 1)  # a linked set may be smaller than this band
+    return home
+
+
+def tile_keys(s: np.ndarray, band: int, rule: Rule, common: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The set's tile contents in a band, as hashes of (band, tile, content).
+
+    Returned are those that may be among the apart + 1 rarest, how many of them, the most common, are not, and those
+    of ``common`` (sorted; held to be the most common of all) that are. Empty tiles stand in where too few are filled.
+    """
+    upper = int(BANDS[band + 1]) - 1
+    most = rule.apart(upper)
+    apart = min(most, rule.apart(len(s)))
+    mixed = mix(s)
+    if upper <= SINGLE:
+        filled, content, tiles = s, mixed, 0
+    else:
+        tiles = most + most // 2 + 2
         tile = ((s >> np.uint64(32)) * np.uint64(tiles)) >> np.uint64(32)  # ascending, as s is
         first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-        content = np.add.reduceat(mix(s), first)
-        filled = tile[first]
-        if tiles - len(filled) >= tiles - apart:  # too many empty tiles: they count as content as well
-            empty = np.setdiff1d(np.arange(tiles, dtype=np.uint64), filled)
-            filled, content = np.concatenate([filled, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        keys.append(mix(mix(content + filled) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
-    return np.concatenate(keys)
+        filled, content = tile[first], np.add.reduceat(mixed, first)
+    salt = np.uint64(band)
+    keys = mix(mix(content + filled) * np.uint64(0x9E3779B97F4A7C15) + salt)
+    spare = len(keys) - apart - 1
+    if spare < 0:
+        empty = np.setdiff1d(np.arange(tiles, dtype=np.uint64), filled)[:-spare]
+        keys, spare = np.concatenate([keys, mix(mix(empty) * np.uint64(0x9E3779B97F4A7C15) + salt)]), 0
+    if not len(common):
+        return keys, spare, keys[:0]
+    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+    known = common[at] == keys
+    stay = np.sort(keys[known])[: max(0, int(known.sum()) - spare)]  # of the most common the last by value are left out
+    return keys[~known], max(0, spare - int(known.sum())), stay
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(s % np.uint64(BITS)).astype(np.int64)] = True
+    """Two bits or more an element, 256 at least; the low bits of a hash give its place, so that halves can be folded."""
+    bits = np.zeros(max(256, 1 << (2 * len(s) - 1).bit_length()), bool)
+    bits[(s % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).view(np.uint64)
 
 
-def most_common(a: int, bits_a: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) of as many words."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] | maps[..., half:]
+    return maps
+
+
+def stacked(maps: list[bytes]) -> np.ndarray:
+    """Packed bitmaps of any lengths as rows of the shortest one's."""
+    words = min(len(x) for x in maps) // 8
+    return np.stack([folded(np.frombuffer(x, np.uint64), words) for x in maps])
+
+
+def most_common(a, bits_a: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
     """Upper bound of the overlap: each bit that only one has is an element that the other lacks."""
     only_a = np.bitwise_count(bits_a & ~bitmaps).sum(1, dtype=np.int64)
     only_b = np.bitwise_count(bitmaps & ~bits_a).sum(1, dtype=np.int64)
@@ -142,70 +184,142 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, key (of the row), n_shingles and class of every document; a null text counts as empty."""
+    """doc_id, key (of the row), n_shingles, class and bitmap of every document; a null text counts as empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = [shingles(x, rule.n) for x in texts(batch)]
-            yield table(doc_id=batch.column("doc_id"), key=batch.column("key"), n_shingles=pa.array(map(len, sets), pa.int64()), **{"class": pa.array(map(class_of, sets), pa.int64())})
+            maps = [bitmap(s).tobytes() if rule.apart(len(s)) else None for s in sets]
+            yield table(doc_id=batch.column("doc_id"), key=batch.column("key"), n_shingles=pa.array(map(len, sets), pa.int64()), **{"class": pa.array(map(class_of, sets), pa.int64())}, bits=pa.array(maps, pa.binary()))
 
-    return doc_rows(docs, "doc_id", "text").withColumn("key", row_key()).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, class long")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, class long, bits binary"
+    return doc_rows(docs, "doc_id", "text").withColumn("key", row_key()).mapInArrow(run, schema)
 
 
-def _packed_tiles(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Rows (part, keys, members): tile keys and the classes that hold them, sorted by key and packed."""
+ENTRY = np.dtype([("key", "<u8"), ("member", "<i8"), ("spare", "<u2"), ("band", "u1")])  # of a tile content
+COUNTED = np.dtype([*ENTRY.descr, ("count", "<u4")])
+HOT = 255  # in place of a band: the content is very common, and what is left out of it is already gone
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        keys, owners, held = [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            part = (key >> np.uint64(40)) % np.uint64(parts)
-            order = np.lexsort((key, part))
-            key, owner, part = key[order], owner[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
-            some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-            yield table(part=pa.array([p for p, _, _ in some], pa.int32()), keys=pa.array([key[a:b].tobytes() for _, a, b in some], pa.binary()), members=pa.array([owner[a:b].tobytes() for _, a, b in some], pa.binary()))
+def _dealt(entries: np.ndarray, part: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row (part, entries) for each part that has some."""
+    order = np.argsort(part, kind="stable")
+    entries, part = entries[order], part[order]
+    cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+    some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    return table(part=pa.array([p for p, _, _ in some], pa.int32()), entries=pa.array([entries[a:b].tobytes() for _, a, b in some], pa.binary()))
 
+
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(x.astype(np.uint64)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _key_part(entries: np.ndarray, parts: int) -> np.ndarray:
+    """By key; a very common one goes to any part, by its member."""
+    return _part(np.where(entries["band"] == HOT, entries["member"].astype(np.uint64), entries["key"]), parts)
+
+
+def _joined(rows: pd.DataFrame, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["entries"]), kind)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal values begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _tiles(docs: DataFrame, rule: Rule, parts: int, common: np.ndarray) -> DataFrame:
+    """Tile contents of each class, dealt by content; a class that a task has seen is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, n = [], 0
         for batch in sliced(batches, "text"):
             for text in texts(batch):
                 s = shingles(text, rule.n)
                 own = class_of(s)
-                if own < 0 or own in seen:
+                if not rule.apart(len(s)) or own in seen:  # links with nothing but its copies
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(own)
-                keys.append(tile_keys(s, rule))
-                owners.append(np.full(len(keys[-1]), own, np.int64))
-                held += len(keys[-1])
-            if held > 4_000_000:
-                yield from flush()
-                keys, owners, held = [], [], 0
-        if keys:
-            yield from flush()
+                for band in home_bands(len(s), rule):
+                    keys, spare, hot = tile_keys(s, band, rule, common)
+                    entries = np.empty(len(keys) + len(hot), ENTRY)
+                    entries["key"], entries["member"] = np.concatenate([keys, hot]), own
+                    entries["spare"], entries["band"] = min(spare, 65535), band
+                    entries["band"][len(keys) :] = HOT
+                    held.append(entries)
+                    n += len(entries)
+            if n > HELD:
+                entries = np.concatenate(held)
+                yield _dealt(entries, _key_part(entries, parts), parts)
+                held, n = [], 0
+        if n:
+            entries = np.concatenate(held)
+            yield _dealt(entries, _key_part(entries, parts), parts)
+
+    return doc_rows(docs, "text").mapInArrow(run, "part int, entries binary")
+
 
-    return doc_rows(docs, "text").mapInArrow(run, "part int, keys binary, members binary")
+def _regrouped(dealt: DataFrame, parts: int, step, schema: str = "part int, entries binary") -> DataFrame:
+    return dealt.repartition(parts, "part").groupBy("part").applyInPandas(step, schema)
 
 
-def _groups(packed: DataFrame, parts: int) -> DataFrame:
-    """(centre, member, tiles): for each tile content held by several classes, the smallest and each of the others."""
+def _groups(dealt: DataFrame, parts: int) -> DataFrame:
+    """(group, members): the classes that share a content which is among the rarest of each. Equal lists occur once.
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["keys"]])
-        member = np.concatenate([np.frombuffer(x, np.int64) for x in rows["members"]])
-        order = np.lexsort((member, key))
-        key, member = key[order], member[order]
-        start = np.concatenate([[True], key[1:] != key[:-1]])
-        centre = member[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-        found = centre != member
-        pairs = pd.DataFrame({"centre": centre[found], "member": member[found]})
-        return pairs.groupby(["centre", "member"], as_index=False).size().rename(columns={"size": "tiles"})
+    A very common content has several rows, none of which is long.
+    """
 
-    found = packed.repartition(parts, "part").groupBy("part").applyInPandas(match, "centre long, member long, tiles long")
-    return found.groupBy("centre", "member").agg(F.sum("tiles").alias("tiles"))
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        e = _joined(rows, ENTRY)
+        e = e[np.lexsort((e["member"], e["key"]))]
+        e = e[_starts(e["key"], e["member"])]
+        first = np.flatnonzero(_starts(e["key"]))
+        count = np.repeat(np.diff(np.append(first, len(e))), np.diff(np.append(first, len(e))))
+        kept = (count > 1) | (e["band"] == HOT)
+        out = np.empty(int(kept.sum()), COUNTED)
+        for name in ENTRY.names:
+            out[name] = e[name][kept]
+        out["count"] = count[kept]
+        return _dealt(out, _part(out["member"], parts), parts).to_pandas()
+
+    def rarest(rows: pd.DataFrame) -> pd.DataFrame:
+        e = _joined(rows, COUNTED)
+        e = e[np.lexsort((~e["key"], -e["count"].astype(np.int64), e["band"], e["member"]))]
+        first = np.flatnonzero(_starts(e["member"], e["band"]))
+        place = np.arange(len(e)) - np.repeat(first, np.diff(np.append(first, len(e))))
+        e = e[(place >= e["spare"]) | (e["band"] == HOT)]
+        out = np.empty(len(e), ENTRY)
+        for name in ENTRY.names:
+            out[name] = e[name]
+        return _dealt(out, _key_part(out, parts), parts).to_pandas()
+
+    def listed(rows: pd.DataFrame) -> pd.DataFrame:
+        e = _joined(rows, ENTRY)
+        e = e[np.lexsort((e["member"], e["key"]))]
+        e = e[_starts(e["key"], e["member"])]
+        found = {}
+        first = np.flatnonzero(_starts(e["key"]))
+        ends = np.append(first[1:], len(e))
+        sums = np.add.reduceat(mix(e["member"].astype(np.uint64)), first) if len(e) else []
+        for a, b, key, total, hot in zip(first.tolist(), ends.tolist(), e["key"][first].tolist(), sums, (e["band"][first] == HOT).tolist()):
+            if hot:
+                for c in range(a, b, BLOCK):
+                    found[key, c] = (key, e["member"][c : min(b, c + BLOCK)])
+            elif b - a > 1:
+                found.setdefault((int(total), 0), (int(total), e["member"][a:b]))
+        return pd.DataFrame({"group": np.array([k for k, _ in found.values()], np.uint64).view(np.int64), "hot": [c > 0 for _, c in found], "members": [m for _, m in found.values()]})
+
+    counts = _regrouped(dealt, parts, counted)
+    chosen = _regrouped(counts, parts, rarest)
+    return _regrouped(chosen, parts, listed, "group long, hot boolean, members array<long>")
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,6 +328,28 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("key"), "text").join(F.broadcast(wanted) if small else wanted, "key").drop("key")
 
 
+def _common_contents(docs: DataFrame, rows: DataFrame, rule: Rule) -> np.ndarray:
+    """Sorted keys of the tile contents that many classes of a bounded sample hold, of which there are few."""
+    known = rows.where("bits IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
+    known = materialize(known)
+    step = max(1, known.count() // SAMPLE)
+    drawn = known.where(F.pmod(F.xxhash64("class"), F.lit(step)) == 0).select("key")
+    least = max(8, min(SAMPLE, drawn.count()) // COMMON)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            for text in texts(batch):
+                s = shingles(text, rule.n)
+                for band in home_bands(len(s), rule) if len(s) else ():
+                    keys = tile_keys(s, band, rule, np.empty(0, np.uint64))[0]
+                    yield table(content=pa.array(keys.view(np.int64)))
+
+    found = _with_texts(docs, drawn).mapInArrow(run, "content long").groupBy("content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    most = found.orderBy(F.desc("n"), "content").limit(4096).select("content").collect()
+    release(known)
+    return np.sort(np.array([r.content for r in most], np.int64).view(np.uint64))
+
+
 def _linked(a: np.ndarray, bits_a: np.ndarray, others: list[np.ndarray], sizes: np.ndarray, bitmaps: np.ndarray, rule: Rule) -> Iterator[int]:
     """Which of ``others`` link with ``a``."""
     for i in np.flatnonzero(rule.enough(most_common(len(a), bits_a, sizes, bitmaps), len(a), sizes)).tolist():
@@ -221,9 +357,33 @@ def _linked(a: np.ndarray, bits_a: np.ndarray, others: list[np.ndarray], sizes:
             yield i
 
 
+def _may_link(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of ``pairs`` (centre, member, lists) whose sizes and bitmaps let them link."""
+    ends = [marks.select(F.col("class").alias(f"{e}_class"), F.col("n").alias(f"{e}_n"), F.col("bits").alias(f"{e}_bits")) for e in ("centre", "member")]
+    both = pairs.join(ends[0], F.col("centre") == F.col("centre_class")).where("centre_class IS NOT NULL")
+    both = both.join(ends[1], F.col("member") == F.col("member_class"))
+    low, high = F.least("centre_n", "member_n"), F.greatest("centre_n", "member_n")
+    both = both.where(low * rule.den >= high * rule.num)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [batch.column(f"{e}_bits").to_pylist() for e in ("centre", "member")]
+            sizes = [batch.column(f"{e}_n").to_numpy() for e in ("centre", "member")]
+            width = np.array([min(len(x), len(y)) // 8 for x, y in zip(*maps)], np.int64)
+            passed = np.zeros(batch.num_rows, bool)
+            for words in np.unique(width).tolist():
+                at = np.flatnonzero(width == words)
+                one, two = (np.stack([folded(np.frombuffer(x[i], np.uint64), words) for i in at]) for x in maps)
+                passed[at] = rule.enough(most_common(sizes[0][at], one, sizes[1][at], two), sizes[0][at], sizes[1][at])
+            yield batch.select(["centre", "member", "lists"]).filter(pa.array(passed))
+
+    columns = both.select("centre", "member", "lists", "centre_n", "member_n", "centre_bits", "member_bits")
+    return columns.mapInArrow(run, "centre long, member long, lists long")
+
+
 def _with_centre(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links of each group's members with its centre; rows come sorted so that a centre precedes its members."""
-    at, s, bits = None, None, None
+    at, s = None, None
     for batch in sliced(batches, "text"):
         found = []
         sets = [shingles(x, rule.n) for x in texts(batch)]
@@ -231,11 +391,10 @@ def _with_centre(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.R
             if class_of(x) != member:  # rows of equal keys
                 continue
             if member == group:
-                at, s, bits = (group, salt), x, bitmap(x)
-            elif at == (group, salt) and rule.enough(min(len(s), len(x)), len(s), len(x)):
-                if next(_linked(s, bits, [x], np.array([len(x)]), bitmap(x)[None], rule), None) is not None:
-                    found.append((group, member))
-        yield table(a=pa.array([a for a, _ in found], pa.int64()), b=pa.array([b for _, b in found], pa.int64()))
+                at, s = (group, salt), x
+            elif at == (group, salt) and rule.enough(common(s, x), len(s), len(x)):  # its bits have been compared
+                found.append((group, member))
+        yield _pairs(found)
 
 
 def _among(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
@@ -247,7 +406,7 @@ def _among(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     if not len(rows):
         return pd.DataFrame([], columns=["a", "b"], dtype="int64")
     sizes, root, member = np.array([len(x) for x in sets]), rows["root"].to_numpy().copy(), rows["member"].to_numpy()
-    maps = np.stack([bitmap(x) for x in sets])
+    maps = stacked([bitmap(x).tobytes() for x in sets])
     left = np.flatnonzero(rows["block"].to_numpy() == rows["one"].to_numpy())
     right = np.flatnonzero(rows["block"].to_numpy() == rows["two"].to_numpy())
     same = rows["one"].iloc[0] == rows["two"].iloc[0]
@@ -263,59 +422,128 @@ def _among(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``groups`` with the components, so far, of both ends."""
-    out = groups
-    for end in ("centre", "member"):
+def _partners(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks of a group that the bits let link across components so far, or as many as connect the same."""
+    pairs: list[tuple[int, int]] = []
+    for rows in _sets(batches):
+        sizes, root, member, block, one, two = (rows.column(c).to_numpy() for c in ("n", "root", "member", "block", "one", "two"))
+        maps, tied = stacked(rows.column("bits").to_pylist()), np.arange(len(root))
+        left, right = np.flatnonzero(block == one[0]), np.flatnonzero(block == two[0])
+        right = right[np.argsort(sizes[right], kind="stable")]
+        low, high = np.searchsorted(sizes[right], [-(-sizes[left] * rule.num // rule.den), sizes[left] * rule.den // rule.num + 1])
+        for i, a, b in zip(left.tolist(), low.tolist(), high.tolist()):
+            other = right[a:b]
+            other = other[(root[other] != root[i]) & (tied[other] != tied[i])]
+            if len(other):
+                for k in other[rule.enough(most_common(sizes[i], maps[i], sizes[other], maps[other]), sizes[i], sizes[other])].tolist():
+                    if tied[k] != tied[i]:
+                        pairs.append((member[i], member[k]))
+                        tied[tied == tied[k]] = tied[i]
+        if len(pairs) > 100_000:
+            yield _pairs(pairs)
+            pairs = []
+    yield _pairs(pairs)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return table(a=pa.array([a for a, _ in found], pa.int64()), b=pa.array([b for _, b in found], pa.int64()))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (group, one, two), by which they come sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in ("group", "one", "two")]
+        cuts = [*np.flatnonzero(_starts(*columns)).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(c[a] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links_among(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    for rows in _sets(batches):
+        found = _among(rows.to_pandas(), rule)
+        if len(found):
+            yield table(a=pa.array(found["a"], pa.int64()), b=pa.array(found["b"], pa.int64()))
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Dealt and sorted as ``_sets`` takes them."""
+    return rows.repartition(partitions(rows.sparkSession), "group", "one", "two").sortWithinPartitions("group", "one", "two")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame, *ends: str) -> DataFrame:
+    """``pairs`` with the components, so far, of the named ends; a class without links is one by itself."""
+    for end in ends:
         named = roots.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root"))
-        out = out.join(named, F.col(end) == F.col(f"{end}_node"), "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end)).drop(f"{end}_node")
-    return out
+        pairs = pairs.join(named, F.col(end) == F.col(f"{end}_node"), "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end)).drop(f"{end}_node")
+    return pairs
+
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` (group, member, root, ...), once for each pair of blocks (one, two) of its group that it is in."""
+    sizes = members.groupBy(F.col("group").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, F.col("group") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("g", "blocks", "other")
 
-def _centre_links(docs: DataFrame, best: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:
-    """Links of members (m) with the centre (group) chosen for each; centres of large groups are salted."""
+
+def _centre_links(docs: DataFrame, pairs: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:
+    """Links of ``pairs`` (centre, member); centres of large groups are salted."""
     spark = docs.sparkSession
-    best = best.withColumnRenamed("m", "member")
-    salts = best.groupBy(F.col("group").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    members = best.join(salts, F.col("group") == F.col("g")).select("group", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
+    salts = pairs.groupBy(F.col("centre").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    members = pairs.join(salts, F.col("centre") == F.col("g")).select(F.col("centre").alias("group"), F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), "member")
     centres = salts.select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("g").alias("member"))
     placed = members.union(centres).join(first, F.col("member") == F.col("class")).select("key", "group", "salt", "member")
     rows = _with_texts(docs, materialize(placed)).repartition(partitions(spark), "group", "salt").sortWithinPartitions("group", "salt", F.col("group") != F.col("member"))
     return rows.mapInArrow(partial(_with_centre, rule=rule), "a long, b long")
 
 
-def links(docs: DataFrame, table_of_classes: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between classes with the same components as all linked pairs."""
+def links(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between classes with the same components as all linked pairs; ``rows`` are those of ``classes``."""
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(partitions(spark), size // (8 << 20))
-    groups = materialize(_groups(_packed_tiles(docs, rule, parts), parts))
-    first = table_of_classes.where("class >= 0").groupBy("class").agg(F.min("key").alias("key"))
-    first = first.join(groups.select(F.col("member").alias("class")).union(groups.select("centre")).distinct(), "class")
-    first = materialize(first)
-    found, untested, left, roots = None, groups, groups, None
-    for _ in range(CENTRE_ROUNDS):
-        best = left.groupBy("member").agg(F.max(F.struct("tiles", (-F.col("centre")).alias("minus"))).alias("m"))
-        best = materialize(best.select((-F.col("m.minus")).alias("group"), F.col("member").alias("m")))
-        new = materialize(_centre_links(docs, best, first, rule))
-        found = new if found is None else found.union(new)
-        roots = materialize(components(found))
-        untested = materialize(untested.join(best, (F.col("centre") == F.col("group")) & (F.col("member") == F.col("m")), "left_anti"))
-        left = materialize(_apart(untested, roots).where("centre_root <> member_root").select("centre", "member", "tiles"))
-    members = groups.select(F.col("centre").alias("group"), "member").union(groups.select("centre", "centre").distinct())
-    apart = members.join(roots, F.col("member") == F.col("node"), "left")
-    apart = materialize(apart.select("group", "member", F.coalesce("root", "member").alias("root")))
-    open_groups = apart.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    pairs = left.select(F.col("centre").alias("c")).distinct()
-    open_groups = open_groups.join(pairs, F.col("group") == F.col("c"), "left").where("n > 2 OR c IS NOT NULL")  # a tested pair is done
-    open_groups = materialize(open_groups.select(F.col("group").alias("g"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    todo = apart.join(open_groups, F.col("group") == F.col("g")).join(first, F.col("member") == F.col("class"))
-    todo = todo.select("key", "group", "member", "root", "blocks", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    todo = todo.withColumn("other", F.explode(every)).select("key", "group", "member", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    rows = _with_texts(docs, materialize(todo))
-    more = materialize(rows.groupBy("group", "one", "two").applyInPandas(partial(_among, rule=rule), "a long, b long"))
-    return found.union(more)
+    tiles = _tiles(docs, rule, parts, _common_contents(docs, rows, rule))
+    groups = materialize(_groups(tiles, parts))
+    members = groups.select("group", F.explode("members").alias("member"))
+    centres = groups.groupBy(F.col("group").alias("g")).agg(F.min(F.array_min("members")).alias("centre"))
+    inside = members.select("member").distinct()
+    marks = rows.where("bits IS NOT NULL").join(inside, F.col("class") == F.col("member"), "left_semi")
+    marks = materialize(marks.groupBy("class").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+    first = marks.select("class", "key")
+    pairs = members.join(centres, F.col("group") == F.col("g")).where("member <> centre").groupBy("centre", "member").agg(F.count(F.lit(1)).alias("lists"))
+    pairs = materialize(_may_link(pairs, marks, rule))
+    best = pairs.groupBy("member").agg(F.max(F.struct("lists", (-F.col("centre")).alias("minus"))).alias("m"))
+    best = materialize(best.select((-F.col("m.minus")).alias("centre"), "member"))
+    found = materialize(_centre_links(docs, best, first, rule))
+    roots = materialize(components(found))
+    rest = _rooted(pairs, roots, "centre", "member").where("centre_root <> member_root").select("centre", "member")
+    rest = materialize(rest.join(best, ["centre", "member"], "left_anti"))
+    more = materialize(_centre_links(docs, rest, first, rule))
+    found = found.union(more)
+    roots = materialize(components(found))
+    # All pairs with a centre are settled. What is left are other pairs of groups that aren't connected yet.
+    placed = _rooted(members, roots, "member").withColumnRenamed("member_root", "root")
+    unsettled = placed.groupBy(F.col("group").alias("g")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2").select("g")
+    unsettled = materialize(placed.join(unsettled, F.col("group") == F.col("g"), "left_semi"))
+    compared = _blocks(unsettled).join(marks, F.col("member") == F.col("class")).select("group", "member", "root", "block", "one", "two", "n", "bits")
+    perhaps = materialize(components(_together(compared).mapInArrow(partial(_partners, rule=rule), "a long, b long")))
+    live = _rooted(perhaps.select(F.col("root").alias("group"), F.col("node").alias("member")), roots, "member").withColumnRenamed("member_root", "root")
+    todo = _blocks(live).join(first, F.col("member") == F.col("class")).select("key", "group", "member", "root", "block", "one", "two")
+    among = _together(_with_texts(docs, materialize(todo))).mapInArrow(partial(_links_among, rule=rule), "a long, b long")
+    out = materialize(found.union(materialize(among)))
+    release(groups, marks, pairs, best, rest, unsettled, perhaps, more, roots)
+    return out
 
 
 def join(docs: DataFrame, rule: Rule = Rule(), *keep: str) -> DataFrame:
@@ -327,7 +555,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), *keep: str) -> DataFrame:
     """
     docs = doc_rows(docs, "doc_id", "text")
     rows = materialize(classes(docs, rule))
-    roots = components(links(docs, rows, rule))
+    roots = components(links(docs, rows.select("key", "n_shingles", "class", "bits"), rule))
     smallest = rows.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     tied = smallest.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     lows = tied.where("node IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest")).withColumnRenamed("root", "r")
