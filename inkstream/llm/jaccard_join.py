@@ -315,7 +315,7 @@ def _groups(dealt: DataFrame, parts: int) -> DataFrame:
                     found[key, c] = (key, e["member"][c : min(b, c + BLOCK)])
             elif b - a > 1:
                 found.setdefault((int(total), 0), (int(total), e["member"][a:b]))
-        return pd.DataFrame({"group": np.array([k for k, _ in found.values()], np.uint64).view(np.int64), "hot": [c > 0 for _, c in found], "members": [m for _, m in found.values()]})
+        return pd.DataFrame({"group": np.array([k for k, _ in found.values()], np.uint64).view(np.int64), "hot": [c > 0 for _, c in found], "members": pd.Series([m for _, m in found.values()], dtype=object)})
 
     counts = _regrouped(dealt, parts, counted)
     chosen = _regrouped(counts, parts, rarest)
