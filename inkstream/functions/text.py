@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A word boundary between ASCII letters, digits and underscores only, whatever stands around them.
+BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    r"""``pattern`` with ``\b`` as a boundary of ASCII words, which Java's isn't."""
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-cased URL without fragment, tracking parameters, ``www.`` (then https) and one trailing slash."""
     plain = F.regexp_replace(url, "#.*$", "")
@@ -91,9 +100,6 @@ def aed_compact(value: Column) -> Column:
     return F.when(value >= 1e9, F.format_string("AED %.2fB", F.floor(value / 1e7 + 0.5) / 100)).when(value >= 1e6, F.format_string("AED %.1fM", F.floor(value / 1e5 + 0.5) / 10)).when(value >= 1e3, F.format_string("AED %dK", F.floor(value / 1e3 + 0.5))).otherwise(F.format_string("AED %d", F.floor(value + 0.5)))
 
 
-def norm_numeric(text: Column) -> Column:
-    """Lower case; no thousands commas; ``per cent`` as ``%``; no space between a number and its currency or unit."""
-    text = F.regexp_replace(F.lower(text), r"([0-9]),([0-9]{3})", "$1$2")
-    text = F.regexp_replace(text, r"[ \t\n\r]*(per cent|percent)", "%")
-    text = F.regexp_replace(text, r"(aed|usd|dh|\$)[ \t\n\r]+([0-9])", "$1$2")
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units; a null text has none."""
+    return (F.octet_length(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")) / 2).cast("int")

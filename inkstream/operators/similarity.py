@@ -10,11 +10,11 @@ from inkstream.functions.text import jaccard
 from inkstream.sources.store import written
 
 
-def token_classes(rows: DataFrame) -> DataFrame:
-    """``ord``, ``tokens`` and ``cls`` (the smallest ord with the same token set) of each row with tokens."""
-    keyed = rows.where(F.size("tokens") > 0).select("ord", F.array_sort("tokens").alias("tokens"))
-    first = keyed.groupBy("tokens").agg(F.min("ord").alias("cls"))
-    return first.select("cls", "tokens")
+def token_classes(rows: DataFrame, rank: str = "ord") -> DataFrame:
+    """``cls`` (the ord of the first row by ``rank``), ``first`` (its rank) and ``tokens`` of each distinct token set."""
+    keyed = rows.where(F.size("tokens") > 0).select("ord", F.col(rank).alias("first"), F.array_sort("tokens").alias("tokens"))
+    first = keyed.groupBy("tokens").agg(F.min(F.struct("first", "ord")).alias("f"))
+    return first.select(F.col("f.ord").alias("cls"), F.col("f.first").alias("first"), "tokens")
 
 
 def jaccard_pairs(classes: DataFrame, least: float) -> DataFrame:
@@ -38,42 +38,53 @@ def jaccard_pairs(classes: DataFrame, least: float) -> DataFrame:
 
 
 def greedy_keep(rows: DataFrame, groups: list[str], neighbours: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Rows (id, rank and group columns) that a scan in rank order would keep.
+    """Rows (rank, group columns, others) that a scan in order of rank would keep.
 
     A row is kept unless an earlier kept row shares one of its ``groups`` values or lies in a neighbouring first group
-    (``neighbours``: a, b, both ways). Each round works on the smallest ranks of groups, never on pairs of rows: a row
-    is decided when no undecided earlier row can concern it.
+    (``neighbours``: a, b, both ways). ``rank`` is any orderable column without ties or nulls. Rows that share nothing
+    are kept at once. Of the others each round decides those that no undecided earlier row can concern; it works on the
+    smallest ranks of groups, never on pairs of rows, and carries on only what later rounds need.
     """
-    rows = written(rows.withColumn("state", F.lit(0)))  # 0 undecided, 1 kept, 2 dropped
-    both = written(neighbours.select("a", "b").union(neighbours.select("b", "a")))
+    both = written(neighbours.select("a", "b").union(neighbours.select("b", "a")).distinct())
+    shared = F.lit(False)
+    marked = rows
+    for i, g in enumerate(groups):
+        several = rows.where(F.col(g).isNotNull()).groupBy(F.col(g).alias(f"__g{i}")).agg(F.count(F.lit(1)).alias(f"__n{i}")).where(f"__n{i} > 1")
+        marked = marked.join(several, F.col(g) == F.col(f"__g{i}"), "left")
+        shared = shared | F.col(f"__n{i}").isNotNull()
+    marked = marked.join(both.select(F.col("a").alias("__a")).distinct(), F.col(groups[0]) == F.col("__a"), "left")
+    marked = written(marked.withColumn("__shared", shared | F.col("__a").isNotNull()).select(*rows.columns, "__shared"))
+    done = [marked.where("NOT __shared").drop("__shared")]
+    open_ = written(marked.where("__shared").drop("__shared").withColumn("__state", F.lit(0)))  # 0 undecided, 1 kept
     for _ in range(most_rounds):
-        state = rows
+        state = open_
         for i, g in enumerate(groups):
-            low = rows.where(F.col(g).isNotNull()).groupBy(g).agg(F.min(F.when(F.col("state") < 2, F.col("rank"))).alias(f"open{i}"), F.min(F.when(F.col("state") == 1, F.col("rank"))).alias(f"kept{i}"))
+            low = open_.where(F.col(g).isNotNull()).groupBy(g).agg(F.min(F.when(F.col("__state") == 0, F.col("rank"))).alias(f"__open{i}"), F.min(F.when(F.col("__state") == 1, F.col("rank"))).alias(f"__kept{i}"))
             if i == 0:
-                around = both.join(low.withColumnRenamed(g, "b"), "b").groupBy("a").agg(F.min(f"open{i}").alias("open_n"), F.min(f"kept{i}").alias("kept_n"))
-                low = low.join(around.withColumnRenamed("a", g), g, "left")
-                low = low.select(g, F.least(f"open{i}", "open_n").alias(f"open{i}"), F.least(f"kept{i}", "kept_n").alias(f"kept{i}"))
+                around = both.join(low.withColumnRenamed(g, "b"), "b").groupBy("a").agg(F.min("__open0").alias("__open_n"), F.min("__kept0").alias("__kept_n")).withColumnRenamed("a", g)
+                low = low.join(around, g, "left").select(g, F.least("__open0", "__open_n").alias("__open0"), F.least("__kept0", "__kept_n").alias("__kept0"))
             state = state.join(low, g, "left")
-        kept = F.least(*[F.coalesce(f"kept{i}", F.lit(1 << 62)) for i in range(len(groups))], F.lit(1 << 62))
-        open_ = F.least(*[F.coalesce(f"open{i}", F.lit(1 << 62)) for i in range(len(groups))], F.lit(1 << 62))
-        new = F.when(F.col("state") > 0, F.col("state")).when(kept < F.col("rank"), 2).when(open_ >= F.col("rank"), 1).otherwise(0)
-        rows = written(state.withColumn("state", new).select(*rows.columns))
-        if rows.where("state = 0").isEmpty():
+        kept = F.least(*[f"__kept{i}" for i in range(len(groups))], F.lit(None))
+        first = F.least(*[f"__open{i}" for i in range(len(groups))], F.col("rank"))
+        new = F.when(F.col("__state") == 1, 1).when(kept < F.col("rank"), 2).when(first == F.col("rank"), 1).otherwise(0)
+        decided = written(state.withColumn("__state", new).where("__state < 2").select(*open_.columns))
+        if decided.where("__state = 0").isEmpty():
+            done.append(decided.where("__state = 1").drop("__state"))
             break
+        open_ = decided
     else:
         raise RuntimeError("the selection did not settle")
-    return rows.where("state = 1").drop("state")
+    return done[0].unionByName(done[1])
 
 
 def leaders(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, leader): each class joins the first leader it is similar to, in order of cls, or leads itself."""
-    rows = classes.select("cls", F.col("cls").alias("rank"))
-    kept = greedy_keep(rows, ["cls"], pairs).select("cls")
+    """(cls, leader): each class (cls, first) joins the first leader it is similar to, in order of first, or leads."""
+    rows = classes.select("cls", F.col("first").alias("rank"))
+    kept = written(greedy_keep(rows, ["cls"], pairs))
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    joined = both.join(kept.withColumnRenamed("cls", "b"), "b", "left_semi").groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("near"))
-    out = classes.select("cls").join(joined, "cls", "left").join(kept.withColumn("own", F.lit(True)), "cls", "left")
-    return out.select("cls", F.when(F.col("own"), F.col("cls")).otherwise(F.col("near")).alias("leader"))
+    near = both.join(kept.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min(F.struct("rank", "b")).alias("near"))
+    out = classes.select("cls").join(near, "cls", "left").join(kept.select("cls", F.lit(True).alias("own")), "cls", "left")
+    return out.select("cls", F.when(F.col("own"), F.col("cls")).otherwise(F.col("near.b")).alias("leader"))
 
 
 def first_in_dictionary(text: Column, terms: list[str]) -> Column:

@@ -17,8 +17,10 @@ query = Registrar()
 
 #: Dictionaries for the invented prose of the test tables; a newsroom passes its own.
 RULES = clusters.Rules(
-    places=("thonwh", "ereat", "auenv", "ieeux"), developers=("oiou", "schie", "asmente", "tionnt"),
+    places=("thonwh", "ereat", "auenv", "ieeux"), developers=("oiou", "schie", "asmente", "tionnt"), generic=("ereat",),
     wealth=("theand", "hanti", "oreat", "geein", "aire", "ciónos", "erenan"), angle=("ingthe", "onth", "heit", "élle", "rrado", "thnt"), excluded="^(is|un) ",
+    desk=("the ", "thane", "oner"), buckets=(("regulatory", ("rrado", "ingwh")), ("macro", ("heit",)), ("policy", ("ouenan", "thnd"))),
+    categories=(("launch", "\\b(?:anea|thon|ouen)\\b"), ("macro", "\\b(?:was|und)\\b"), ("policy", "\\b(?:of|la)\\b")), markets=(("North", "\\bthat\\b"), ("South", "\\b(?:der|las)\\b")),
 )
 
 NORM = r"trim(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9_ \t\n\r]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))"
@@ -36,13 +38,13 @@ FROM scan s LEFT JOIN before b ON b.y = s.n + 1 WHERE s.n < (SELECT count(*) FRO
 kept AS MATERIALIZED (SELECT t.* FROM t JOIN (SELECT unnest(kept) AS k FROM (SELECT kept FROM scan ORDER BY n DESC LIMIT 1)) ON t.n = k)"""
 )
 
-LEADERS = f"""lt AS MATERIALIZED (SELECT ord, {TOKENS.format(t='title')} AS w, row_number() OVER (ORDER BY ord) AS n FROM {{rows}}),
+LEADERS = f"""lt AS MATERIALIZED (SELECT ord, {TOKENS.format(t='title')} AS w, row_number() OVER (ORDER BY tier, published_ms DESC, ord) AS n FROM {{rows}}),
 lp AS MATERIALIZED (SELECT a.n AS x, b.n AS y FROM lt a JOIN lt b ON a.n < b.n AND len(a.w) > 0 AND len(b.w) > 0 AND {JACCARD} >= 0.45),
 lb AS MATERIALIZED (SELECT y, list(x ORDER BY x) AS xs FROM lp GROUP BY y),
 lscan AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT s.n + 1, CASE WHEN b.xs IS NOT NULL AND list_has_any(s.kept, b.xs) THEN s.kept ELSE list_append(s.kept, s.n + 1) END
 FROM lscan s LEFT JOIN lb b ON b.y = s.n + 1 WHERE s.n < (SELECT count(*) FROM lt)),
 lk AS MATERIALIZED (SELECT unnest(kept) AS k FROM (SELECT kept FROM lscan ORDER BY n DESC LIMIT 1)),
-lead AS (SELECT lt.ord, coalesce((SELECT min(x.ord) FROM lt x JOIN lk ON x.n = lk.k JOIN lp ON lp.x = x.n AND lp.y = lt.n), lt.ord) AS leader FROM lt)"""
+lead AS (SELECT lt.ord, coalesce((SELECT arg_min(x.ord, x.n) FROM lt x JOIN lk ON x.n = lk.k JOIN lp ON lp.x = x.n AND lp.y = lt.n), lt.ord) AS leader FROM lt)"""
 
 
 @query(DEDUPE + " SELECT ord, tier, published_ms FROM kept")
@@ -52,13 +54,17 @@ def dedupe_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(views.sql("entries", recursive=True) + ", " + LEADERS.format(rows="entries") + " SELECT * FROM lead")
 def headline_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.headline_clusters(views.entries(spark, sf_dir).select("ord", "title"))
+    return clusters.headline_clusters(views.entries(spark, sf_dir).select("ord", "title", "tier", "published_ms"))
 
 
-def _terms(name: str, terms: tuple[str, ...]) -> str:
+def _flags(name: str, terms: tuple[str, ...]) -> str:
     return ", ".join(f"max(contains(txt, '{t}')::INT) AS {name}{i}" for i, t in enumerate(terms))
 
 
+def _matches(name: str, column: str, patterns: tuple[tuple[str, str], ...]) -> str:
+    return ", ".join(f"max(regexp_matches({column}, '{p}')::INT) AS {name}{i}" for i, (_, p) in enumerate(patterns))
+
+
 def _sum(name: str, terms: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"{name}{i}" for i in range(len(terms))) + ")"
 
@@ -67,30 +73,63 @@ def _first(terms: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN contains(txt, '{t}') THEN '{t}'" for t in terms) + " END"
 
 
+def _list(name: str, names: tuple[str, ...], empty: str = "") -> str:
+    parts = ", ".join(f"CASE WHEN {name}{i} = 1 THEN '{n}' END" for i, n in enumerate(names))
+    return f"coalesce(nullif(array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ','), ''), '{empty}')"
+
+
+def _any(column: str, terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")"
+
+
+SIGNED = f"""e AS (SELECT *, lower(title || ' ' || summary) AS txt FROM kept),
+s AS (SELECT *, CASE WHEN place IS NOT NULL AND developer IS NOT NULL THEN developer || '--' || place WHEN place IS NOT NULL THEN 'place--' || place WHEN developer IS NOT NULL THEN 'dev--' || developer
+{' '.join(f"WHEN {_any('txt', terms)} THEN '{n}'" for n, terms in RULES.buckets)} END AS sig
+FROM (SELECT *, {_first(tuple(p for p in RULES.places if p not in RULES.generic))} AS place, {_first(RULES.developers)} AS developer FROM e))"""
 CLUSTERS = (
     DEDUPE
-    + f""", e AS (SELECT *, lower(title || ' ' || summary) AS txt FROM kept),
-s AS (SELECT *, {_first(RULES.places)} AS place, {_first(RULES.developers)} AS developer FROM e),
-u AS MATERIALIZED (SELECT * FROM s WHERE place IS NULL AND developer IS NULL), """
+    + f", {SIGNED}, u AS MATERIALIZED (SELECT * FROM s WHERE sig IS NULL), "
     + LEADERS.format(rows="u")
-    + f""", g AS (SELECT s.*, CASE WHEN place IS NOT NULL OR developer IS NOT NULL THEN 'sig:' || concat_ws('|', place, developer) ELSE 'lead:' || leader END AS topic FROM s LEFT JOIN lead ON s.ord = lead.ord),
-c AS (SELECT topic, count(*) AS entries, count(DISTINCT domain) AS domains, max([1.0, 0.85, 0.80, 0.65, 0.50][tier + 1]::DOUBLE) AS weight, max(published_ms) AS newest, min(ord) AS first, min(regexp_matches(lower(title), '{RULES.excluded}')::INT) AS excluded,
-{_terms('p', RULES.places)}, {_terms('d', RULES.developers)}, {_terms('u', RULES.wealth)}, {_terms('a', RULES.angle)} FROM g GROUP BY topic),
+    + f""", g AS (SELECT s.*, coalesce(s.sig, 'topic:' || left(sha256(f.id || chr(10) || f.title), 32)) AS topic FROM s LEFT JOIN lead ON s.ord = lead.ord LEFT JOIN u f ON f.ord = lead.leader),
+c AS (SELECT topic, count(*) AS entries, count(DISTINCT domain) AS domains, max([1.0, 0.85, 0.80, 0.65, 0.50][tier + 1]::DOUBLE) AS weight, max(published_ms) AS newest, min(n) AS first, arg_min(title, n) AS headline, bool_and(sig IS NULL) AS unnamed,
+{_flags('p', RULES.places)}, {_flags('d', RULES.developers)}, {_flags('u', RULES.wealth)}, {_flags('a', RULES.angle)}, {_matches('c', 'lower(title)', RULES.categories)}, {_matches('m', 'txt', RULES.markets)} FROM g GROUP BY topic),
 k AS (SELECT *, least(100, {_sum('u', RULES.wealth)} * 10) AS wealth, least(100, {_sum('a', RULES.angle)} * 8) AS angle, {_sum('p', RULES.places)} + {_sum('d', RULES.developers)} AS named,
+{_list('p', RULES.places)} AS places, {_list('d', RULES.developers)} AS developers, {_list('m', tuple(n for n, _ in RULES.markets), RULES.no_market)} AS markets,
+CASE {' '.join(f"WHEN c{i} = 1 THEN '{n}'" for i, (n, _) in enumerate(RULES.categories))} ELSE '{RULES.no_category}' END AS category,
+regexp_matches(lower(headline), '{RULES.excluded}') AS excluded, {_any('lower(headline)', RULES.desk)} AND NOT regexp_matches(lower(headline), '{RULES.excluded}') AS desk,
 least(100, floor(weight * 70 + least(30, (domains - 1) * 15) + 0.5)) AS source, CASE WHEN age < 2 THEN 100 WHEN age < 6 THEN 85 WHEN age < 24 THEN 70 WHEN age < 48 THEN 50 WHEN age < 72 THEN 30 ELSE 10 END AS fresh
 FROM (SELECT *, (1735689600000 - newest)::DOUBLE / 3600000 AS age FROM c)),
-z AS (SELECT *, least(100, floor(wealth * 0.30::DOUBLE + source * 0.25::DOUBLE + fresh * 0.20::DOUBLE + angle * 0.25::DOUBLE + 0.5) + CASE WHEN named > 0 THEN 15 ELSE 0 END) AS score FROM k)
-SELECT 'topic:' || left(sha256(topic), 32) AS id, topic, entries, domains, wealth::BIGINT AS wealth, source::BIGINT AS source, fresh::BIGINT AS fresh, angle::BIGINT AS angle, score::BIGINT AS score, first
-FROM z WHERE excluded = 0 AND (named > 0 OR angle >= 24) ORDER BY score DESC, first LIMIT 30"""
+z AS (SELECT *, least(100, floor(wealth * 0.30::DOUBLE + source * 0.25::DOUBLE + fresh * 0.20::DOUBLE + angle * 0.25::DOUBLE + 0.5) + CASE WHEN desk THEN 15 ELSE 0 END) AS score FROM k)"""
 )
 
 
-@query(CLUSTERS)
+@query(
+    CLUSTERS
+    + """ SELECT topic, headline, entries, domains, wealth::BIGINT AS wealth, source::BIGINT AS source, fresh::BIGINT AS fresh, angle::BIGINT AS angle, score::BIGINT AS score, category, places, developers, markets
+FROM z WHERE NOT excluded AND (named > 0 OR desk OR angle >= 24) ORDER BY score DESC, unnamed, first LIMIT 30"""
+)
 def clusters_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: deduplicated entries as scored topic clusters."""
     return clusters.clusters_scored(views.entries(spark, sf_dir), RULES, NOW_MS)
 
 
+@query(CLUSTERS + " SELECT topic, entries, category, places, developers, markets FROM z")
+def cluster_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every topic with the names, the category and the markets of its entries."""
+    rows = clusters.cluster_rows(views.entries(spark, sf_dir), RULES)
+    return rows.select("topic", "entries", "category", *[F.array_join(c, ",").alias(c) for c in ("places", "developers", "markets")])
+
+
+@query(views.sql("entries") + ", kept AS (SELECT * FROM entries), " + SIGNED + " SELECT ord, sig FROM s")
+def topic_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.entries(spark, sf_dir).select("ord", clusters.signature(clusters.lower_text(), RULES).alias("sig"))
+
+
+@query(views.sql("entries") + f" SELECT ord, {_any('lower(title)', RULES.desk)} AND NOT regexp_matches(lower(title), '{RULES.excluded}') AS on_desk FROM entries")
+def topic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.entries(spark, sf_dir).select("ord", clusters.on_desk(F.col("title"), RULES).alias("on_desk"))
+
+
 @query(views.sql("entries") + f", t AS (SELECT ord, list_sort({TOKENS.format(t='title')}) AS w FROM entries), c AS (SELECT min(ord) AS cls, w FROM t WHERE len(w) > 0 GROUP BY w) SELECT a.cls AS a, b.cls AS b, {JACCARD} AS sim FROM c a JOIN c b ON a.cls < b.cls AND {JACCARD} >= 0.45")
 def title_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct title token sets, each by its smallest ord; ``title_classes`` has the members."""
@@ -237,48 +276,11 @@ def money_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", f.alias("f")).select("doc_id", F.size("f").cast("long").alias("figures"), F.array_join("f", ";").alias("found"))
 
 
-#: Currencies, numbers and units of a figure.
-CURRENCY = r"(?:AED|USD|US\$|\$|€|£|Dhs|Dh)"
-NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"
-UNIT = r"(?:%|per\s?cent|percent|bps|pp|p\.a\.|per\s+annum|bn|billion|million|trillion|tn|sq\.?\s?ft|sqft|psf)"
-FIGURE = rf"(?i){CURRENCY}?\s?{NUMBER}(?:\s*[-–]\s*{NUMBER})?\s*(?:{UNIT}|[mk]\b)?"
-NO_FIGURE = r"^\s*(?:[0-9]+|(?:19|20)[0-9]{2}\s*[-–]\s*(?:19|20)[0-9]{2})\s*$"
-
-
-@query(rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{FIGURE}')) AS f FROM documents),
-n AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(f), '[ \t\n\r]+', ' ', 'g')) AS f FROM m WHERE NOT regexp_matches(f, '{NO_FIGURE}'))
-SELECT doc_id, count(*) AS figures, string_agg(f, ';' ORDER BY f) AS found FROM n GROUP BY doc_id""")
-def evidence_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct normalised figures of each document that has any; bare integers and spans of years are none."""
-    found = F.filter(F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0)), lambda m: ~m.rlike(NO_FIGURE))
-    plain = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.trim(F.regexp_replace(F.lower(m), r"[ \t\n\r]+", " ")))))
-    rows = load(spark, sf_dir, "documents").select("doc_id", plain.alias("f")).where(F.size("f") > 0)
-    return rows.select("doc_id", F.size("f").cast("long").alias("figures"), F.array_join("f", ";").alias("found"))
-
-
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
 
 
-GATES = r"""SELECT doc_id, n < 600 OR n > 1200 AS length_out, banned, no_number, long_first, CAST((n < 600 OR n > 1200)::INT + banned::INT + no_number::INT AS INT) AS blocked
-FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '')) AS n, regexp_matches(lower(text), 'ingthe|heth ') AS banned, NOT regexp_matches(string_split(text, chr(10))[1], '[0-9]') AS no_number, length(string_split(text, chr(10))[1]) > 300 AS long_first FROM documents)"""
-
-
-@query(GATES)
-def draft_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality gates of a draft: length, banned words and a number in the first line block; a long first line warns."""
-    text, first = F.col("text"), F.split("text", "\n")[0]
-    n = T.word_count(text)
-    out, banned, bare = (n < 600) | (n > 1200), F.lower(text).rlike("ingthe|heth "), ~first.rlike("[0-9]")
-    return load(spark, sf_dir, "documents").select("doc_id", out.alias("length_out"), banned.alias("banned"), bare.alias("no_number"), (F.length(first) > 300).alias("long_first"), (out.cast("int") + banned.cast("int") + bare.cast("int")).alias("blocked"))
-
-
-@query(f"SELECT CAST(floor(avg((3 - blocked)::DOUBLE / 3) * 100 + 0.5) AS BIGINT) AS confidence FROM ({GATES})")
-def gate_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draft_gates(spark, sf_dir).agg(T.round_half_up(F.avg((3 - F.col("blocked")) / 3) * 100).alias("confidence"))
-
-
 @query(views.sql("articles") + f", w AS (SELECT ord, slug, published_ms, list_filter({TOKENS.format(t='title')}, lambda x: length(x) > 2) AS w FROM articles) SELECT slug FROM w a WHERE ord < 200 AND ord % 10 = 0 AND NOT EXISTS (SELECT 1 FROM w b WHERE b.ord >= 200 AND len(a.w) > 0 AND len(b.w) > 0 AND {JACCARD} >= 0.55)")
 def undrafted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates whose title is like none of the covered articles: an anti-join over similar token sets."""

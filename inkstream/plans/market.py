@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from inkstream.functions.text import aed_compact, round_half_up
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
+from inkstream.sources.store import written
 from inkstream.sources.views import load
 
 query = Registrar()
@@ -16,18 +19,36 @@ query = Registrar()
 SQM_TO_SQFT = 10.7639  # fixed value
 LEAST_ROWS = 3
 
-LATEST = views.sql("transactions") + ", latest AS (SELECT max(day) AS day FROM transactions), today AS (SELECT t.* FROM transactions t, latest l WHERE t.day = l.day AND worth > 0)"
+#: The present of the transaction tables, which end in November 2001.
+PULSE_NOW = datetime.date(2001, 11, 15)
+STALE_DAYS, AHEAD_DAYS = 21, 1  # fixed values: days within which a latest day is shown
+
+LATEST = views.sql("transactions") + f""", latest AS (SELECT max(day) AS day FROM transactions),
+today AS (SELECT t.* FROM transactions t, latest l WHERE t.day = l.day AND worth > 0 AND l.day BETWEEN DATE '{PULSE_NOW}' - {STALE_DAYS} AND DATE '{PULSE_NOW}' + {AHEAD_DAYS})"""
+
+
+def norm_date(text: Column) -> Column:
+    """A day as YYYY-MM-DD: of DD-MM-YYYY the parts, of anything else the first ten characters; not checked further."""
+    pattern = r"^([0-9]{2})-([0-9]{2})-([0-9]{4})"
+    return F.when(text.rlike(pattern), F.concat_ws("-", *[F.regexp_extract(text, pattern, i) for i in (3, 2, 1)])).otherwise(F.substring(F.coalesce(text, F.lit("")), 1, 10))
 
 
-def latest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_day(day: Column, now: datetime.date) -> Column:
+    """A latest day counts only if it is neither stale nor ahead of the present."""
+    age = F.datediff(F.lit(now), day)
+    return (age >= -AHEAD_DAYS) & (age <= STALE_DAYS)
+
+
+def latest_day(spark: SparkSession, sf_dir: str, now: datetime.date = PULSE_NOW) -> DataFrame:
     """Priced transactions of the latest day, which is taken over all rows. The one-row maximum is broadcast."""
     rows = views.transactions(spark, sf_dir)
-    last = load(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("last"))
+    last = load(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("last")).where(fresh_day(F.col("last"), now))
     return rows.join(F.broadcast(last), F.col("day") == F.col("last")).where("worth > 0").drop("last")
 
 
 @query(LATEST + " SELECT CAST(max(day) AS VARCHAR) AS day, count(*) AS deals, round(sum(worth), 2) AS value, CAST(floor(avg(worth) + 0.5) AS BIGINT) AS average FROM today HAVING count(*) >= 3")
 def pulse_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals, value and mean of the latest day; nothing where fewer than three are priced or the day isn't fresh."""
     day = latest_day(spark, sf_dir)
     out = day.agg(F.max("day").cast("string").alias("day"), F.count(F.lit(1)).alias("deals"), F.round(F.sum("worth"), 2).alias("value"), round_half_up(F.avg("worth")).alias("average"))
     return out.where(F.col("deals") >= LEAST_ROWS)
@@ -35,11 +56,19 @@ def pulse_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LATEST + ", p AS (SELECT per_sqm / 10.7639::DOUBLE AS x, row_number() OVER (ORDER BY per_sqm) AS rn, count(*) OVER () AS n FROM today WHERE per_sqm > 0) SELECT CAST(floor(x + 0.5) AS BIGINT) AS median_psf FROM p WHERE rn = n // 2 + 1")
 def pulse_median_psf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper median: of n prices the one at place n / 2, counted from nought. ``percentile`` of ranks avoids a list."""
-    prices = latest_day(spark, sf_dir).where("per_sqm > 0").groupBy("per_sqm").agg(F.count(F.lit(1)).alias("n"))
-    running = W.orderBy("per_sqm").rowsBetween(W.unboundedPreceding, 0)
-    placed = prices.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(W.partitionBy()))
-    return placed.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(round_half_up(F.min("per_sqm") / SQM_TO_SQFT).alias("median_psf")).where("median_psf IS NOT NULL")
+    """Upper median: of n prices the one at place n / 2, counted from nought.
+
+    Prices are counted in exponential bins first; only the bin that holds the place is sorted, by distinct price.
+    """
+    prices = written(latest_day(spark, sf_dir).where("per_sqm > 0").groupBy("per_sqm").agg(F.count(F.lit(1)).alias("n")))
+    bins = prices.groupBy(F.floor(F.log2("per_sqm") * 64).alias("bin")).agg(F.sum("n").alias("n"))
+    running = W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # a few thousand bins at any size
+    placed = bins.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(W.partitionBy()))
+    hit = placed.where(F.col("upto") > F.floor(F.col("all") / 2)).orderBy("bin").limit(1)
+    hit = hit.select("bin", (F.floor(F.col("all") / 2) - F.col("upto") + F.col("n")).alias("skip"))
+    inside = prices.join(F.broadcast(hit), F.floor(F.log2("per_sqm") * 64) == F.col("bin"))
+    ordered = inside.withColumn("upto", F.sum("n").over(W.orderBy("per_sqm").rowsBetween(W.unboundedPreceding, 0)))
+    return ordered.where(F.col("upto") > F.col("skip")).agg(round_half_up(F.min("per_sqm") / SQM_TO_SQFT).alias("median_psf")).where("median_psf IS NOT NULL")
 
 
 def _top(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -68,24 +97,30 @@ def area_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Currency units for one dirham; the live table overrides them and the dirham stays one.
-FALLBACK_RATES = {"AED": 1.0, "USD": 0.2723, "EUR": 0.2506, "GBP": 0.2145, "INR": 22.75}
+FALLBACK_RATES = {"AED": 1.0, "USD": 0.2722, "EUR": 0.2492, "GBP": 0.2130, "INR": 22.95, "SGD": 0.3680, "HKD": 2.1130, "CHF": 0.2410, "JPY": 41.20}
 
 
 def fx_rates(spark: SparkSession, live: DataFrame) -> DataFrame:
-    """``live`` (currency, rate) over the fallback; rates that are not above nought don't count."""
+    """``live`` (currency, rate) over the fallback; a missing rate is the fallback's, and the dirham's is one."""
     base = spark.createDataFrame(list(FALLBACK_RATES.items()), "currency string, fallback double")
-    found = live.where("rate > 0").groupBy("currency").agg(F.max("rate").alias("rate"))
+    found = live.where("rate IS NOT NULL").groupBy("currency").agg(F.max("rate").alias("rate"))
     return base.join(found, "currency", "left").select("currency", F.when(F.col("currency") == "AED", 1.0).otherwise(F.coalesce("rate", "fallback")).alias("rate"))
 
 
+def converted(amount: Column, rate: Column) -> Column:
+    """``amount`` times ``rate``; unchanged where that is missing or not above nought."""
+    return F.when(rate > 0, amount * rate).otherwise(amount)
+
+
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for p in (("AFRICA", "USD"), ("AMERICA", "GBP"), ("ASIA", "AED"), ("EUROPE", "XXX")) for x in p])
     return load(spark, sf_dir, "region").select(names[F.col("r_name")].alias("currency"), (F.col("r_regionkey") * 0.11).alias("rate"))
 
 
-RATES = """WITH live AS (SELECT CASE r_name WHEN 'AFRICA' THEN 'USD' WHEN 'AMERICA' THEN 'GBP' WHEN 'ASIA' THEN 'AED' WHEN 'EUROPE' THEN 'XXX' END AS currency, r_regionkey * 0.11::DOUBLE AS rate FROM region),
-base(currency, fallback) AS (VALUES ('AED', 1.0::DOUBLE), ('USD', 0.2723::DOUBLE), ('EUR', 0.2506::DOUBLE), ('GBP', 0.2145::DOUBLE), ('INR', 22.75::DOUBLE)),
-rates AS (SELECT b.currency, CASE WHEN b.currency = 'AED' THEN 1.0::DOUBLE ELSE coalesce(l.rate, fallback) END AS rate FROM base b LEFT JOIN (SELECT currency, max(rate) AS rate FROM live WHERE rate > 0 GROUP BY currency) l ON b.currency = l.currency)"""
+RATES = f"""WITH live AS (SELECT CASE r_name WHEN 'AFRICA' THEN 'USD' WHEN 'AMERICA' THEN 'GBP' WHEN 'ASIA' THEN 'AED' WHEN 'EUROPE' THEN 'XXX' END AS currency, r_regionkey * 0.11::DOUBLE AS rate FROM region),
+base(currency, fallback) AS (VALUES {', '.join(f"('{c}', {r}::DOUBLE)" for c, r in FALLBACK_RATES.items())}),
+rates AS (SELECT b.currency, CASE WHEN b.currency = 'AED' THEN 1.0::DOUBLE ELSE coalesce(l.rate, fallback) END AS rate
+FROM base b LEFT JOIN (SELECT currency, max(rate) AS rate FROM live WHERE rate IS NOT NULL GROUP BY currency) l ON b.currency = l.currency)"""
 
 
 @query(RATES + " SELECT * FROM rates")
@@ -93,11 +128,12 @@ def fx_rates_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_rates(spark, _live(spark, sf_dir))
 
 
-@query(RATES + " SELECT c_custkey, currency, c_acctbal * rate AS amount FROM customer, rates")
+@query(RATES + " SELECT c_custkey, currency, CASE WHEN rate > 0 THEN c_acctbal * rate ELSE c_acctbal END AS amount FROM customer, rates")
 def fx_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balances in every currency; the rate table has one row for each of a fixed list of currencies."""
-    rates = fx_rates(spark, _live(spark, sf_dir))
-    return load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(F.broadcast(rates)).select("c_custkey", "currency", (F.col("c_acctbal") * F.col("rate")).alias("amount"))
+    """Balances in every currency. The rate table, of nine rows, becomes one array that each balance is exploded by."""
+    rates = fx_rates(spark, _live(spark, sf_dir)).agg(F.collect_list(F.struct("currency", "rate")).alias("rates"))
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(F.broadcast(rates)).select("c_custkey", "c_acctbal", F.explode("rates").alias("r"))
+    return rows.select("c_custkey", "r.currency", converted(F.col("c_acctbal"), F.col("r.rate")).alias("amount"))
 
 
 @query("SELECT o_orderkey, CASE WHEN v >= 1e9 THEN printf('AED %.2fB', floor(v / 1e7 + 0.5) / 100) WHEN v >= 1e6 THEN printf('AED %.1fM', floor(v / 1e5 + 0.5) / 10) WHEN v >= 1e3 THEN printf('AED %.0fK', floor(v / 1e3 + 0.5)) ELSE printf('AED %.0f', floor(v + 0.5)) END AS label FROM (SELECT o_orderkey, floor(o_totalprice) * (CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 100000 ELSE 0.001 END)::DOUBLE + 0.013 AS v FROM orders)")
@@ -115,12 +151,19 @@ def channel_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("channel", F.when(F.col("volume") > 0, F.round(F.col("weighted") / F.col("volume"), 6)).otherwise(0.0).alias("score"), "volume")
 
 
+#: Cut points and names of five bands of a score from -1 to 1; a score must be above a cut point.
+BANDS = ((0.4, "bullish"), (0.1, "soft-bullish"), (-0.1, "neutral"), (-0.4, "soft-bearish"))
+LOWEST = "bearish"
+
+
 def score_color(score: Column) -> Column:
-    """Five bands of a score from -1 to 1."""
-    return F.when(score >= 0.5, "strong").when(score >= 0.15, "firm").when(score > -0.15, "neutral").when(score > -0.5, "soft").otherwise("weak")
+    return F.coalesce(*[F.when(score > cut, name) for cut, name in BANDS], F.lit(LOWEST))
+
+
+BAND = "CASE " + " ".join(f"WHEN s > {cut}::DOUBLE THEN '{name}'" for cut, name in BANDS) + f" ELSE '{LOWEST}' END"
 
 
-@query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN s >= 0.5 THEN 'strong' WHEN s >= 0.15 THEN 'firm' WHEN s > -0.15 THEN 'neutral' WHEN s > -0.5 THEN 'soft' ELSE 'weak' END AS band FROM (SELECT (value - 25)::DOUBLE / 50.0::DOUBLE AS s FROM events)) GROUP BY band")
+@query(f"SELECT band, count(*) AS n FROM (SELECT {BAND} AS band FROM (SELECT (value - 25)::DOUBLE / 50.0::DOUBLE AS s FROM events)) GROUP BY band")
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(score_color((F.col("value") - 25) / 50.0).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 

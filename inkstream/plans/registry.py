@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,21 +119,6 @@ def citations_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").groupBy(host("url").alias("host")).agg(F.min("page_id").alias("page_id"))
 
 
-@query(f"SELECT tier, n, CASE WHEN n >= 100 THEN 'broad' WHEN n >= 20 THEN 'limited' ELSE 'thin' END AS label FROM (SELECT CAST(length({HOST}) % 5 AS INT) AS tier, count(*) AS n FROM pages GROUP BY 1)")
-def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n")
-    rows = load(spark, sf_dir, "pages").groupBy((F.length(host("url")) % 5).cast("int").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("tier", "n", F.when(n >= 100, "broad").when(n >= 20, "limited").otherwise("thin").alias("label"))
-
-
-@query(f"WITH p AS (SELECT page_id % 40 AS draft, [1.0, 0.85, 0.80, 0.65, 0.50][length({HOST}) % 5 + 1]::DOUBLE AS w FROM pages) SELECT draft, max(w) >= 0.8 OR count(*) FILTER (WHERE w >= 0.65) >= 2 AS ok, max(w) AS top FROM p GROUP BY draft")
-def citation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A draft needs one source of weight 0.8 or two of 0.65."""
-    weight = F.element_at(F.array(*map(F.lit, (1.0, 0.85, 0.80, 0.65, 0.50))), (F.length(host("url")) % 5 + 1).cast("int"))
-    rows = load(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("draft"), weight.alias("w"))
-    return rows.groupBy("draft").agg(((F.max("w") >= 0.8) | (F.count_if(F.col("w") >= 0.65) >= 2)).alias("ok"), F.max("w").alias("top"))
-
-
 @query(r"SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) AS last_turn, sha256(max(CASE WHEN turn = 0 THEN text END)) AS opening FROM conversations GROUP BY conv_id")
 def conversation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").groupBy("conv_id")
@@ -151,15 +138,56 @@ def sender_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "domain", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-BLOCKED = ((10 << 24, 8), ((172 << 24) + (16 << 16), 12), ((192 << 24) + (168 << 16), 16), (127 << 24, 8))
+#: Networks that a fetch must not reach.
+BLOCKED_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+BLOCKED_V6 = ("::/128", "::1/128", "64:ff9b::/96", "100::/64", "2001::/23", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8", "2002::/16", "3fff::/20")
+
+
+def ipv4_blocked(ip: Column) -> Column:
+    """Whether an address, as a number, lies in a blocked network: its leading bits are compared."""
+    found = F.lit(False)
+    for net in map(ipaddress.ip_network, BLOCKED_V4):
+        shift = 32 - net.prefixlen
+        found = found | (F.shiftright(ip, shift) == int(net.network_address) >> shift)
+    return found
+
+
+def ipv6_hex(address: Column) -> Column:
+    """The 32 hexadecimal digits of an address in text, ``::`` filled up; a trailing dotted quad isn't taken."""
+    low = F.lower(address)
+    sides = F.split(low, "::")
+    head, tail = (F.filter(F.split(F.coalesce(F.get(sides, i), F.lit("")), ":"), lambda x: x != "") for i in (0, 1))
+    gap = F.when(F.contains(low, F.lit("::")), 8 - F.size(head) - F.size(tail)).otherwise(0)
+    groups = F.concat(head, F.array_repeat(F.lit("0"), gap), tail)
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+
+def ipv6_blocked(address: Column) -> Column:
+    """Whether an address in text lies in a blocked network; what isn't an address of eight groups is blocked, too."""
+    digits = ipv6_hex(address)
+    found = ~F.coalesce(digits.rlike("^[0-9a-f]{32}$"), F.lit(False))
+    for net in map(ipaddress.ip_network, BLOCKED_V6):
+        whole, rest = divmod(net.prefixlen, 4)
+        text = f"{int(net.network_address):032x}"
+        same = F.substring(digits, 1, whole) == text[:whole] if whole else F.lit(True)
+        if rest:
+            shift = 4 - rest
+            same = same & (F.shiftright(F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int"), shift) == int(text[whole], 16) >> shift)
+        found = found | same
+    return F.coalesce(found, F.lit(True))
+
+
+V4_SQL = " OR ".join(f"ip >> {32 - n.prefixlen} = {int(n.network_address) >> (32 - n.prefixlen)}" for n in map(ipaddress.ip_network, BLOCKED_V4))
 
 
-@query("WITH a AS (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS ip FROM customer) SELECT c_custkey, ip >> 24 = 10 OR ip >> 20 = (172 << 4) + 1 OR ip >> 16 = (192 << 8) + 168 OR ip >> 24 = 127 AS blocked FROM a")
+@query(f"WITH a AS (SELECT c_custkey, (c_custkey * 2654435761) % 4294967296 AS ip FROM customer) SELECT c_custkey, {V4_SQL} AS blocked FROM a")
 def ip_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses inside a private range, by comparing their leading bits."""
-    ip = F.col("ip")
-    inside = [F.shiftright(ip, 32 - bits) == (base >> (32 - bits)) for base, bits in BLOCKED]
-    return load(spark, sf_dir, "customer").select("c_custkey", F.pmod(F.col("c_custkey") * 2654435761, F.lit(1 << 32)).alias("ip")).select("c_custkey", (inside[0] | inside[1] | inside[2] | inside[3]).alias("blocked"))
+    """Addresses inside a network that a fetch must not reach."""
+    ip = F.pmod(F.col("c_custkey") * 2654435761, F.lit(1 << 32))
+    return load(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")).select("c_custkey", ipv4_blocked(F.col("ip")).alias("blocked"))
 
 
 @query("SELECT event_id, event_type || CASE WHEN k ~ '^[0-9]{1,6}$' THEN ':' || k ELSE '' END AS label FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")

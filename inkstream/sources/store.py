@@ -6,13 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine only where all of Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "inkstream-checkpoints")
+    return root.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "inkstream-checkpoints")
-    path = f"{root.rstrip('/')}/inkstream-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/inkstream-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,13 +28,13 @@ def words(text: str) -> Column:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed entries: ord, title, summary, tier (0 best to 4), domain, url, published_ms, full_text."""
+    """Feed entries: ord, id, title, summary, tier (0 best to 4), domain, url, published_ms, full_text."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     title = F.array_join(F.slice(words("text"), 1, 12), " ")
     number = F.substring("source", 4, 9).cast("int")
     path = F.lower(F.array_join(F.slice(words("text"), 1, 4), "-"))
     return docs.select(
-        F.col("doc_id").alias("ord"), title.alias("title"), F.substring("text", 1, 600).alias("summary"), (number % 5).alias("tier"),
+        F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), title.alias("title"), F.substring("text", 1, 600).alias("summary"), (number % 5).alias("tier"),
         F.concat("source", F.lit(".example.com")).alias("domain"), F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), path, F.lit("?utm_source=x")).alias("url"),
         (F.lit(NOW_MS) - F.col("doc_id") * 37 * 60_000).alias("published_ms"), F.col("text").alias("full_text"),
     )
@@ -85,7 +85,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views as DuckDB common table expressions.
 SQL = {
-    "entries": r"""entries AS (SELECT doc_id AS ord, array_to_string(list_slice(w, 1, 12), ' ') AS title, left(text, 600) AS summary, CAST(substr(source, 4) AS INT) % 5 AS tier,
+    "entries": r"""entries AS (SELECT doc_id AS ord, 'doc-' || doc_id AS id, array_to_string(list_slice(w, 1, 12), ' ') AS title, left(text, 600) AS summary, CAST(substr(source, 4) AS INT) % 5 AS tier,
         source || '.example.com' AS domain, 'https://www.' || source || '.example.com/' || lower(array_to_string(list_slice(w, 1, 4), '-')) || '?utm_source=x' AS url,
         1735689600000 - doc_id * 37 * 60000 AS published_ms, text AS full_text
         FROM (SELECT *, list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents))""",
