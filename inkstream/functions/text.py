@@ -103,3 +103,9 @@ def aed_compact(value: Column) -> Column:
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units; a null text has none."""
     return (F.octet_length(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")) / 2).cast("int")
+
+
+def plain_text(text: Column) -> Column:
+    """Lower-case ASCII letters and digits with single blanks between; ``&`` is spelt out."""
+    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))

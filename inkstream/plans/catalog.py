@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkstream.plans import editorial, evidence, market, registry, state
+from inkstream.plans import commands, editorial, entities, evidence, market, registry, state
 
-MODULES = (editorial, evidence, market, registry, state)
+MODULES = (commands, editorial, entities, evidence, market, registry, state)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -169,13 +169,6 @@ def archive_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("key", "day", F.col("last.id").alias("id"), (F.col("day") == newest).alias("is_current"))
 
 
-@query(views.sql("requests") + " SELECT key, namespace, count(DISTINCT CAST(floor(value) AS INT) % 5) > 1 AS conflicted, count(*) AS approvals FROM requests GROUP BY 1, 2")
-def set_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An approval may be set once: further ones must carry the same hash."""
-    rows = views.requests(spark, sf_dir).withColumn("h", F.floor("value").cast("int") % 5)
-    return rows.groupBy("key", "namespace").agg((F.min("h") != F.max("h")).alias("conflicted"), F.count(F.lit(1)).alias("approvals"))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS removed, count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS collided FROM orders")
 def migration_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an old store against those of a new one by id and content hash."""
