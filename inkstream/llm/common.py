@@ -16,10 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
+    """Send this package to the executors once per application, so that their Python workers can import it.
+
+    Where the session leaves the rows of an Arrow batch at Spark's default of 10 000, they are set to 1 000: whole texts
+    are long, and both an executor and its workers hold a batch or two a task outside the heap.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -33,11 +40,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; that setting is only given a value where it has none."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one of this machine only where all of Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "inkstream-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/inkstream-{uuid.uuid4().hex}"
 
 

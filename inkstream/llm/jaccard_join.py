@@ -34,7 +34,7 @@ BLOCK = 1024  # members of a group that one comparison task holds on each side
 SINGLE = 64  # up to this size each shingle is a tile of its own
 SAMPLE = 16_000  # about so many classes tell which tile contents are very common; changes cost, never links
 COMMON = 1_000  # a content that one class in so many of the sample holds is very common
-HELD = 500_000  # tile keys that a task gathers before it sends them on
+HELD = 250_000  # tile keys that a task gathers before it sends them on
 BROADCAST_ROWS = 500_000  # most rows that are broadcast, of a few longs each
 
 
@@ -61,7 +61,7 @@ class Rule:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 65_536:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

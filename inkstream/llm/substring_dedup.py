@@ -94,7 +94,7 @@ def _spans(docs: DataFrame, parts: int) -> DataFrame:
                 if len(first):
                     held.append(np.stack([value.view(np.int64), np.full(len(first), FIRST if doc_id is None else doc_id), np.full(len(first), key), first * 1024 + length]))
                     size += len(first)
-            if size > 2_000_000:
+            if size > 500_000:
                 yield from flush()
                 held, size = [], 0
         if held:
