@@ -88,13 +88,6 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), r"[ \t\n\r]+", " "))
 
 
-def string_hash(text: Column) -> Column:
-    """The 32-bit polynomial string hash (factor 31), absolute, in base 36."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    wrapped = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31))
-    return F.lower(F.conv(F.abs(wrapped).cast("string"), 10, 36))
-
-
 def aed_compact(value: Column) -> Column:
     """AED with B (two decimals), M (one) or K, halves rounded up."""
     return F.when(value >= 1e9, F.format_string("AED %.2fB", F.floor(value / 1e7 + 0.5) / 100)).when(value >= 1e6, F.format_string("AED %.1fM", F.floor(value / 1e5 + 0.5) / 10)).when(value >= 1e3, F.format_string("AED %dK", F.floor(value / 1e3 + 0.5))).otherwise(F.format_string("AED %d", F.floor(value + 0.5)))
@@ -109,3 +102,13 @@ def plain_text(text: Column) -> Column:
     """Lower-case ASCII letters and digits with single blanks between; ``&`` is spelt out."""
     low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
+
+
+#: References that page text is decoded by, in this order.
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
+
+
+def decode_entities(text: Column) -> Column:
+    for coded, letter in ENTITIES:
+        text = F.replace(text, F.lit(coded), F.lit(letter))
+    return text

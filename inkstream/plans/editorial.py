@@ -174,11 +174,17 @@ def home_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slug", F.when(F.col("position") == 1, "lead").when(F.col("position") <= 4, "rail").otherwise("ledger").alias("slot"))
 
 
-@query(views.sql("articles") + " SELECT lpad(CAST(row_number() OVER (ORDER BY published_ms DESC, ord) AS VARCHAR), 2, '0') || '. ' || title AS line FROM articles WHERE status IS DISTINCT FROM 'research' AND published_ms > 1735689600000 - 86400000 ORDER BY published_ms DESC, ord")
+@query(views.sql("articles") + " SELECT CASE WHEN n < 10 THEN '0' ELSE '' END || n || '. ' || title AS line FROM (SELECT *, row_number() OVER (ORDER BY published_ms DESC, ord) AS n FROM articles WHERE status IS DISTINCT FROM 'research' AND published_ms > 1735689600000 - 86400000)")
 def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last day's articles, newest first, numbered."""
+    """The last day's articles, newest first, numbered; minutes are counted first, so only rows of a minute are sorted together."""
     rows = views.articles(spark, sf_dir).where(~F.col("status").eqNullSafe("research") & (F.col("published_ms") > NOW_MS - DAY_MS))
-    return rows.select(F.concat(F.lpad(F.row_number().over(W.orderBy(F.desc("published_ms"), "ord")).cast("string"), 2, "0"), F.lit(". "), "title").alias("line"))
+    rows = rows.select("title", "ord", "published_ms", F.floor((NOW_MS - F.col("published_ms")) / 60_000).alias("minute"))
+    counts = rows.groupBy(F.col("minute").alias("m")).agg(F.count(F.lit(1)).alias("n"))  # 1440 minutes, and few ahead
+    before = counts.select("m", (F.sum("n").over(W.orderBy("m")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("minute").orderBy(F.desc("published_ms"), "ord"))
+    numbered = rows.join(F.broadcast(before), F.col("minute") == F.col("m")).select("title", (F.col("before") + place).alias("n"))
+    digits = F.greatest(F.lit(2), F.length(F.col("n").cast("string")))
+    return numbered.select(F.concat(F.lpad(F.col("n").cast("string"), digits, F.lit("0")), F.lit(". "), "title").alias("line"))
 
 
 @query(views.sql("articles") + " SELECT slug, published_ms FROM articles WHERE status IS DISTINCT FROM 'research' AND published_ms > 1735689600000 - 172800000 AND published_ms <= 1735689600000 ORDER BY published_ms DESC, ord LIMIT 1000")
@@ -234,26 +240,6 @@ def area_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(found).alias("area"), "published_ms").groupBy("area").agg(F.count(F.lit(1)).alias("reports"), F.max("published_ms").alias("newest_ms"))
 
 
-@query(views.sql("articles") + f", w AS (SELECT ord, published_ms, slug, {TOKENS.format(t='title')} AS k FROM articles), s AS (SELECT slug, published_ms, ord, (list_contains(k, 'the')::INT + list_contains(k, 'thon')::INT + list_contains(k, 'que')::INT) * 3 AS score FROM w) SELECT slug, score FROM s WHERE score > 0 ORDER BY score DESC, published_ms DESC, ord LIMIT 4")
-def brief_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four articles that match a topic's terms best, newest first."""
-    k = T.title_tokens(F.col("title"))
-    score = sum((F.array_contains(k, t).cast("int") for t in ("the", "thon", "que")), F.lit(0)) * 3
-    return views.articles(spark, sf_dir).select("slug", "published_ms", "ord", score.alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("published_ms"), "ord").limit(4).select("slug", "score")
-
-
-CHANNELS = {"x": 280, "threads": 500, "linkedin": 1300, "bluesky": 300}
-
-
-@query(views.sql("articles") + r""", v(channel, most) AS (VALUES ('x', 280), ('threads', 500), ('linkedin', 1300), ('bluesky', 300)), b AS (SELECT slug, channel, most, title || ' ' || body AS t FROM articles, v WHERE ord % 3 = 0), c AS (SELECT *, left(t, most - 4) AS h FROM b)
-SELECT slug, channel, CASE WHEN length(t) <= most THEN t ELSE CASE WHEN contains(h, ' ') THEN left(h, length(h) - strpos(reverse(h), ' ')) ELSE h END || '...' END AS draft FROM c""")
-def channel_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each article for each channel, within its length. The channels are a fixed list, so rows are exploded."""
-    rows = views.articles(spark, sf_dir).where("ord % 3 = 0").select("slug", F.concat_ws(" ", "title", "body").alias("t"))
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), T.truncate_words(F.col("t"), n).alias("draft")) for c, n in CHANNELS.items()]))
-    return rows.select("slug", each.alias("v")).select("slug", "v.channel", "v.draft")
-
-
 @query(views.sql("articles") + r", p AS (SELECT slug, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM articles), c AS (SELECT *, left(s, 60) AS h FROM p) SELECT slug, rtrim(CASE WHEN length(s) <= 60 THEN s WHEN contains(h, '-') AND length(h) - strpos(reverse(h), '-') >= 40 THEN left(h, length(h) - strpos(reverse(h), '-')) ELSE h END, '-') AS url FROM c")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.articles(spark, sf_dir).select("slug", T.slugify(F.col("title")).alias("url"))
@@ -281,17 +267,21 @@ def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
 
 
-@query(views.sql("articles") + f", w AS (SELECT ord, slug, published_ms, list_filter({TOKENS.format(t='title')}, lambda x: length(x) > 2) AS w FROM articles) SELECT slug FROM w a WHERE ord < 200 AND ord % 10 = 0 AND NOT EXISTS (SELECT 1 FROM w b WHERE b.ord >= 200 AND len(a.w) > 0 AND len(b.w) > 0 AND {JACCARD} >= 0.55)")
+@query(
+    views.sql("articles")
+    + f""", w AS (SELECT ord, slug, status, {TOKENS.format(t='title')} AS w FROM articles)
+SELECT slug FROM w a WHERE status IS DISTINCT FROM 'research' AND NOT EXISTS (SELECT 1 FROM w b WHERE b.status = 'research' AND len(a.w) > 0 AND len(b.w) > 0 AND {JACCARD} >= 0.55)"""
+)
 def undrafted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates whose title is like none of the covered articles: an anti-join over similar token sets."""
-    rows = written(views.articles(spark, sf_dir).select("ord", "slug", F.array_sort(T.title_tokens(F.col("title"))).alias("tokens")))
+    """Articles whose title is like none of those in research: an anti-join over similar token sets."""
+    rows = written(views.articles(spark, sf_dir).select("ord", "slug", F.col("status").eqNullSafe("research").alias("covered"), F.array_sort(T.title_tokens(F.col("title"))).alias("tokens")))
     classes = written(similarity.token_classes(rows))
-    pairs = similarity.jaccard_pairs(classes, 0.55)
-    member = rows.join(classes.select("cls", F.col("tokens").alias("t")), F.col("tokens") == F.col("t"))
-    covered = member.where("ord >= 200").select("cls").distinct()
-    near = pairs.select("a", "b").union(pairs.select("b", "a")).union(classes.select("cls", "cls")).join(covered, F.col("b") == F.col("cls"), "left_semi").select("a").distinct()
-    out = rows.where("ord < 200 AND ord % 10 = 0").join(member.select(F.col("ord").alias("o"), "cls"), F.col("ord") == F.col("o"), "left")
-    return out.join(near, F.col("cls") == F.col("a"), "left_anti").select("slug")
+    pairs = written(similarity.jaccard_pairs(classes, 0.55))
+    member = rows.join(classes.select("cls", F.col("tokens").alias("t")), F.col("tokens") == F.col("t"), "left")
+    covered = member.where("covered").select(F.col("cls").alias("k")).distinct()
+    either = pairs.select("a", "b").union(pairs.select("b", "a"))
+    near = either.join(covered, F.col("b") == F.col("k"), "left_semi").select("a").union(covered).distinct()
+    return member.where("NOT covered").join(near, F.col("cls") == F.col("a"), "left_anti").select("slug")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -57,26 +57,49 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canon"))
 
 
-@query(CANON + " SELECT canon, min(page_id) AS page_id, count(*) AS copies FROM c GROUP BY canon")
+@query(
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, row_number() OVER (PARTITION BY page_id % 50 ORDER BY page_id) AS k, page_id % 50 AS request FROM pages)
+SELECT DISTINCT request, regexp_replace(url, '\?.*$', '') AS url FROM p WHERE k <= 3 AND regexp_matches(origin, '^https://[a-z0-9]+\.example\.com$') AND NOT contains(url, '#') AND NOT contains(origin, '@')"""
+)
 def owned_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canon"))
-    return rows.groupBy("canon").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("copies"))
+    """Of the first three URLs of each request those of an owned origin, without query, each once.
 
+    The limit comes before the filter. URLs with a fragment or a user name are left out.
+    """
+    rows = load(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 50).alias("request"))
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("request").orderBy("page_id"))).where("k <= 3")
+    owned = F.col("url").rlike(r"^https://[a-z0-9]+\.example\.com(?:[/?]|$)") & ~F.contains("url", F.lit("#"))
+    return first.where(owned).select("request", F.regexp_replace("url", r"\?.*$", "").alias("url")).distinct()
 
-@query(CANON + f" SELECT host, sha256('[' || string_agg('\"' || canon || '\"', ',' ORDER BY canon) || ']') AS digest FROM (SELECT DISTINCT canon, regexp_extract(canon, '^https?://([^/:?#]+)', 1) AS host FROM c) GROUP BY host")
+
+@query(CANON + f""", u AS (SELECT DISTINCT canon, regexp_extract(canon, '^https?://([^/:?#]+)', 1) AS host, substr(sha256(canon), 1, 2) AS part FROM c),
+d AS (SELECT host, part, count(*) AS n, sha256('[' || string_agg('"' || canon || '"', ',' ORDER BY canon) || ']') AS digest FROM u GROUP BY ALL)
+SELECT host, CAST(sum(n) AS BIGINT) AS urls, sha256(string_agg(part || digest, '' ORDER BY part)) AS digest FROM d GROUP BY host""")
 def url_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 of each host's sorted distinct URLs."""
+    """A digest of each host's distinct URLs: sorted lists of 256 parts, by the URLs' own digests, are digested first.
+
+    So no task holds all URLs of a host. ``set_digest`` is the digest of one request's bounded list.
+    """
     rows = load(spark, sf_dir, "pages").select(T.canonical_url(F.col("url")).alias("canon")).distinct().withColumn("host", host("canon"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("canon")), lambda u: F.concat(F.lit('"'), u, F.lit('"'))), ",")
-    return rows.groupBy("host").agg(F.sha2(F.concat(F.lit("["), listed, F.lit("]")), 256).alias("digest"))
+    parts = rows.groupBy("host", F.substring(F.sha2("canon", 256), 1, 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), set_digest(F.collect_list("canon")).alias("digest"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat(x["part"], x["digest"]))
+    return parts.groupBy("host").agg(F.sum("n").alias("urls"), F.sha2(F.array_join(listed, ""), 256).alias("digest"))
+
+
+def set_digest(urls: Column) -> Column:
+    """SHA-256 of the sorted list as JSON; URLs hold no character that JSON escapes."""
+    listed = F.array_join(F.transform(F.array_sort(urls), lambda u: F.concat(F.lit('"'), u, F.lit('"'))), ",")
+    return F.sha2(F.concat(F.lit("["), listed, F.lit("]")), 256)
 
 
-LINKS = r"""l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)"""
+HREF = r"""(?is)<a\b[^>]*\bhref=["']([^"']+)["'][^>]*>(.*?)</a>"""
+SQL_HREF = HREF.replace("'", "''")
+LINKS = f"""l AS (SELECT page_id, unnest(regexp_extract_all(html, '{SQL_HREF}', 1)) AS href FROM pages)"""
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('(?i)<a[^>]*href="([^"]*)"'), F.lit(1))
-    return load(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("href"))
+    """(page_id, href) of every anchor, in either kind of quotes."""
+    return load(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
 
 
 @query(f"WITH {LINKS} SELECT page_id, href, count(*) AS n FROM l GROUP BY 1, 2")
@@ -85,18 +108,53 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {LINKS} SELECT page_id, href FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY href) AS rn FROM (SELECT DISTINCT page_id, href FROM l WHERE regexp_matches(href, '^/') AND length(href) BETWEEN 2 AND 200)) WHERE rn <= 15")
+PATHS = "^/[a-z]"  # paths of content on the test pages; a newsroom passes its own
+LEAST_TITLE, MOST_TITLE = 2, 200
+
+
+def headline_from_url(url: Column) -> Column:
+    """The last part of a path as words, each with a capital: what stands in for a link without a usable text."""
+    slug = F.regexp_replace(F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1), r"\.[a-z0-9]{2,5}$", "")
+    return F.initcap(F.trim(F.regexp_replace(slug, r"[-_\s]+", " ")))
+
+
+def candidate_links(pages: DataFrame, paths: str, least: int, most: int, limit: int = 15) -> DataFrame:
+    """(page_id, position, url, title) of up to ``limit`` content links of each page (page_id, url, html), in page order.
+
+    A link counts once, if its path matches, its address is on the page's host and not the page's own, and its text, or
+    else the headline of its address, has ``least`` to ``most`` characters. A page's links are one array of its row.
+    """
+    hrefs, inner = (F.regexp_extract_all("html", F.lit(HREF), F.lit(i)) for i in (1, 2))
+    origin = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    text = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"\s+", " "))
+    whole = lambda h: F.when(h.rlike("^https?://"), h).when(h.startswith("/"), F.concat(origin, h))
+    found = F.transform(F.arrays_zip(hrefs.alias("h"), inner.alias("t")), lambda x: F.struct(whole(x["h"]).alias("url"), text(x["t"]).alias("text"), x["h"].alias("href")))
+    titled = F.transform(found, lambda x: F.struct(x["url"].alias("url"), F.when(F.length(x["text"]).between(least, most), x["text"]).otherwise(headline_from_url(x["url"])).alias("title"), x["href"].alias("href")))
+    page = F.regexp_replace("url", "/+$", "")
+    good = F.filter(titled, lambda x: x["href"].rlike(paths) & x["url"].startswith(F.concat(origin, F.lit("/"))) & (F.regexp_replace(x["url"], "/+$", "") != page) & F.length(x["title"]).between(least, most))
+    first = F.filter(F.transform(good, lambda x, i: F.struct(x["url"].alias("url"), x["title"].alias("title"), (F.array_position(F.transform(good, lambda y: y["url"]), x["url"]) == i + 1).alias("new"))), lambda x: x["new"])
+    return pages.select("page_id", F.posexplode(F.slice(first, 1, limit)).alias("position", "l")).select("page_id", "position", "l.url", "l.title")
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, rtrim(url, '/') AS page, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, unnest(regexp_extract_all(html, '{SQL_HREF}', 1)) AS href, unnest(regexp_extract_all(html, '{SQL_HREF}', 2)) AS inner_html, generate_subscripts(regexp_extract_all(html, '{SQL_HREF}', 1), 1) AS k FROM pages),
+b AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN origin || href END AS url, trim(regexp_replace(regexp_replace(inner_html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM a),
+c AS (SELECT page_id, url, title, k, row_number() OVER (PARTITION BY page_id, url ORDER BY k) AS again FROM b WHERE regexp_matches(href, '{PATHS}') AND starts_with(url, origin || '/') AND rtrim(url, '/') <> page AND length(title) BETWEEN {LEAST_TITLE} AND {MOST_TITLE})
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS position, url, title FROM c WHERE again = 1 QUALIFY position < 15"""
+)
 def page_candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 15 distinct candidate links of each index page."""
-    hrefs = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("html", F.lit('(?i)<a[^>]*href="([^"]*)"'), F.lit(1)), lambda h: h.rlike("^/") & F.length(h).between(2, 200))))
-    return load(spark, sf_dir, "pages").select("page_id", F.explode(F.slice(hrefs, 1, 15)).alias("href"))
+    """Up to 15 distinct content links of each page in page order, with their texts."""
+    return candidate_links(load(spark, sf_dir, "pages").select("page_id", "url", "html"), PATHS, LEAST_TITLE, MOST_TITLE)
 
 
-@query(f"WITH {LINKS}, d AS (SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM l GROUP BY href) SELECT * FROM d WHERE NOT regexp_matches(href, '^(https?://|/)')")
+@query(
+    f"WITH {LINKS}, p AS (SELECT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path, min(page_id) AS known FROM pages GROUP BY 1), e AS (SELECT DISTINCT href, page_id FROM l) SELECT href, count(*) AS pages, min(page_id) AS first_page FROM e LEFT JOIN p ON href = path WHERE known IS NULL GROUP BY href"
+)
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Destinations that can't be resolved, with how many pages hold them."""
-    per_page = links(spark, sf_dir).where(~F.col("href").rlike("^(https?://|/)")).groupBy("href", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_page.groupBy("href").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+    """Destinations that no page answers, with how many pages link to them: a left join of edges with what is there."""
+    there = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path")).distinct()
+    edges = links(spark, sf_dir).distinct()
+    return edges.join(there, F.col("href") == F.col("path"), "left_anti").groupBy("href").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
 
 
 @query(f"WITH {LINKS} SELECT DISTINCT href FROM l WHERE regexp_matches(href, '^/') AND href NOT IN (SELECT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) FROM pages)")
@@ -106,12 +164,35 @@ def unverified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).where(F.col("href").rlike("^/")).select("href").distinct().join(known, F.col("href") == F.col("path"), "left_anti")
 
 
-MAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))"
+LEAST_PARAGRAPH, LEAST_BODY, MOST_BODY = 40, 200, 9000  # fixed values: characters
+
+
+def main_text(html: Column) -> Column:
+    """The paragraphs of a page of more than 40 characters, two blanks apart, else all its text; 9000 characters at most.
+
+    Scripts, styles and their like go first; tags become blanks, references letters, runs of white space one blank.
+    """
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>", " ")
+    plain = lambda t: F.trim(F.regexp_replace(T.decode_entities(F.regexp_replace(t, "<[^>]+>", " ")), r"\s+", " "))
+    paragraphs = F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), plain)
+    body = F.array_join(F.filter(paragraphs, lambda p: F.length(p) > LEAST_PARAGRAPH), "  ")
+    return F.substring(F.when(F.length(body) < LEAST_BODY, plain(bare)).otherwise(body), 1, MOST_BODY)
+
+
+def _sql_plain(t: str) -> str:
+    out = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    for coded, letter in T.ENTITIES:
+        out = f"replace({out}, '{coded}', '{letter.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {MAIN} AS body FROM pages")
+@query(
+    rf"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>', ' ', 'g') AS bare FROM pages),
+p AS (SELECT page_id, bare, array_to_string([x for x in [{_sql_plain('y')} for y in regexp_extract_all(bare, '(?is)<p[^>]*>(.*?)</p>', 1)] if length(x) > 40], '  ') AS body FROM b)
+SELECT page_id, left(CASE WHEN length(body) < 200 THEN {_sql_plain('bare')} ELSE body END, 9000) AS body FROM p"""
+)
 def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("body"))
+    return load(spark, sf_dir, "pages").select("page_id", main_text(F.col("html")).alias("body"))
 
 
 @query(f"SELECT h AS host, page_id FROM (SELECT page_id, {HOST} AS h, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS rn FROM pages) WHERE rn = 1")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkstream.operators import folds
 from inkstream.streaming import folds as streams
@@ -16,6 +17,22 @@ CASES = {
 }
 
 
+def test_claims_and_late_rows(spark, tmp_path):
+    """One claim of a key while its state lives; rows ahead of or behind the present go."""
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [("a", at(0)), ("a", at(3)), ("b", at(4)), ("a", at(5))]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], "key string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = streams.claim_once(stream, "1 hour").writeStream.format("memory").queryName("claims").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    assert run.awaitTermination(120)
+    assert sorted(r.key for r in spark.table("claims").collect()) == ["a", "b"]
+    table = spark.createDataFrame([(i, at(m)) for i, m in enumerate((0, 4, 6, -21 * 1440, -21 * 1440 - 1))], "i int, at timestamp")
+    assert sorted(r.i for r in streams.on_time(table, "at", F.lit(at(0))).collect()) == [0, 1, 3]
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_stream_equals_batch(spark, tmp_path, name):
     step, schema = CASES[name]
