@@ -24,6 +24,7 @@ from inkstream.llm.common import doc_rows, materialize, partitions, ship, sliced
 from inkstream.llm.jaccard_join import mix
 
 STRENGTH = 4.0
+PART_BYTES = 16 << 20  # text to a part of the hash space, so that parts grow in number and not in size
 END = 1  # hash of the end token
 START = 2  # hash of the place before the first token
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -230,7 +231,7 @@ def _unzip(data: bytes, kind: str, count: int) -> np.ndarray:
 
 
 def _emit(blocks: DataFrame, order: int, parts: int) -> DataFrame:
-    """Counts of each block's n-grams by part of the hash space. Longer n-grams keep 40 bits of hash within a part."""
+    """Counts of each block's n-grams, known by 64 bits of hash, by part of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,10 +240,9 @@ def _emit(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 for longer, (keys, counts) in enumerate(zip((block.words, block.longer), block.counts())):
                     cuts = _part_cuts(keys, parts)
                     some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                    low = keys.view(np.uint8).reshape(-1, 8)[:, :5] if longer else keys.view(np.uint8).reshape(-1, 8)
                     yield table(
                         part=pa.array([p for p, _, _ in some], pa.int32()), longer=pa.array([bool(longer)] * len(some)), block=pa.array([row["block"]] * len(some), pa.int64()), n=pa.array([b - a for _, a, b in some], pa.int64()),
-                        keys=pa.array([np.ascontiguousarray(low[a:b]).tobytes() for _, a, b in some], pa.binary()), counts=pa.array([_zip(counts[a:b].astype("<u4")) for _, a, b in some], pa.binary()),
+                        keys=pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), counts=pa.array([_zip(counts[a:b].astype("<u4")) for _, a, b in some], pa.binary()),
                     )
 
     return blocks.mapInArrow(run, "part int, longer boolean, block long, n long, keys binary, counts binary")
@@ -250,18 +250,14 @@ def _emit(blocks: DataFrame, order: int, parts: int) -> DataFrame:
 
 def _sum_up(rows: pd.DataFrame) -> pd.DataFrame:
     """Corpus totals of every block's n-grams in one part, in the order in which the block sent them."""
-    width = 5 if rows["longer"].iloc[0] else 8
-    raw = np.frombuffer(b"".join(rows["keys"]), np.uint8).reshape(-1, width)
-    keys = np.zeros((len(raw), 8), np.uint8)
-    keys[:, :width] = raw
-    keys = keys.view("<u8").ravel()
+    keys = np.frombuffer(b"".join(rows["keys"]), "<u8")
     counts = np.concatenate([_unzip(x, "<u4", n) for x, n in zip(rows["counts"], rows["n"])])
     distinct, at = np.unique(keys, return_inverse=True)
     totals = np.bincount(at, counts, minlength=len(distinct)).astype(np.int64)
     ends = np.cumsum(rows["n"].to_numpy())
     back = totals[at]
     kept = [_zip(back[e - n : e]) for e, n in zip(ends.tolist(), rows["n"].tolist())]
-    types, all_ = (0, 0) if width == 5 else (int((totals > 0).sum()), int(totals.sum()))
+    types, all_ = (0, 0) if rows["longer"].iloc[0] else (int((totals > 0).sum()), int(totals.sum()))
     lead = [1, *[0] * (len(rows) - 1)]
     return pd.DataFrame({"block": rows["block"], "part": rows["part"], "longer": rows["longer"], "n": rows["n"], "totals": kept, "types": [types * x for x in lead], "tokens": [all_ * x for x in lead]})
 
@@ -274,8 +270,9 @@ def score(docs: DataFrame, held: Column, order: int = 2, block_bytes: int = 6 <<
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    parts = partitions(spark)
     blocks = materialize(_packed(docs.select("doc_id", "text", held.alias("held_out")), block_bytes))
+    size = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
+    parts = max(partitions(spark), size // PART_BYTES)
     sent = _emit(blocks, order, parts)
     totals = materialize(sent.repartition(parts, "part", "longer").groupBy("part", "longer").applyInPandas(_sum_up, "block long, part int, longer boolean, n long, totals binary, types long, tokens long"))
     size = totals.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()

@@ -24,8 +24,9 @@ def tokens_of(text: Column) -> Column:
 
 def shares(docs: DataFrame) -> DataFrame:
     """source, docs, tokens and share of each source. A null source is a source of its own; ones without tokens have share 0."""
-    sums = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
-    return sums.select("*", (F.col("tokens") / F.greatest(F.lit(1), F.sum("tokens").over(W.partitionBy()))).alias("share"))
+    sums = materialize(docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")))
+    total = max(1, sums.agg(F.sum("tokens").alias("n")).first().n or 0)
+    return sums.select("*", (F.col("tokens") / F.lit(float(total))).alias("share"))
 
 
 def exponent(table: DataFrame, entropy: float | None = None, passes: float | None = None) -> float:
@@ -76,13 +77,14 @@ def mix(docs: DataFrame, entropy: float | None = 0.9, passes: float | None = 2.0
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), tokens_of(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     slim = materialize(rows.select("source", "n_tokens", "h"))
-    table = materialize(shares(slim))
+    table = shares(slim)
     a = exponent(table, entropy, passes)
     power = F.when(F.col("share") > 0, F.pow("share", F.lit(a))).otherwise(0.0)
-    weights = table.withColumn("power", power).withColumn("weight", F.col("power") / F.greatest(F.lit(1e-300), F.sum("power").over(W.partitionBy())))
-    weights = weights.withColumn("want", F.when(F.col("share") > 0, F.col("weight") / F.col("share")).otherwise(1.0))
-    least = F.min(F.when(F.col("share") > 0, F.col("want"))).over(W.partitionBy())
-    weights = weights.withColumn("passes", F.greatest(F.lit(1.0), F.round(F.col("want") / F.coalesce(least, F.lit(1.0)), 9)))
+    powers = table.withColumn("power", power)
+    sums = powers.agg(F.sum("power").alias("total"), F.min(F.when(F.col("share") > 0, F.col("power") / F.col("share"))).alias("least")).first()
+    weights = powers.withColumn("weight", F.col("power") / F.lit(max(1e-300, sums.total or 0.0)))
+    want = F.when(F.col("share") > 0, F.col("power") / F.col("share")).otherwise(F.lit(sums.least or 1.0))
+    weights = weights.withColumn("passes", F.greatest(F.lit(1.0), F.round(want / F.lit(sums.least or 1.0), 9)))
     plan = materialize(weights.select(F.col("source").alias("s"), "weight", F.floor("passes").cast("int").alias("whole"), F.floor((F.col("passes") - F.floor("passes")) * F.col("tokens")).cast("long").alias("rest"), F.ceil(F.greatest(F.lit(1), F.col("tokens")) / BLOCK_TOKENS).alias("blocks")))
     block = F.floor(F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("blocks")).cast("long")
     blocks = slim.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block)

@@ -27,13 +27,14 @@ def resolve(pages: DataFrame, smallest: int = 100) -> DataFrame:
     """Add payload_digest, payload_bytes, refers_to and refers_uri to ``pages`` (page_id, url, html).
 
     Of rows with equal payloads of at least ``smallest`` bytes the one with the smallest page_id is the original and
-    the others refer to it. A null html is an empty payload. Rows that repeat the original's page_id are originals too.
+    the others refer to it. A null html is an empty payload. Rows that repeat the original's page_id are originals too;
+    where their urls differ, references name the smallest, a null one being empty.
     A null page_id is never an original while another row has that payload.
     """
     pages = doc_rows(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     pages = pages.withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     headers = pages.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest")
-    originals = headers.agg(F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("page_id", "url"), F.col("page_id")).alias("first"))
+    originals = headers.agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))).alias("first"))
     originals = originals.where((F.col("copies") > 1) & F.col("first.page_id").isNotNull())
     originals = materialize(originals.select(F.col("payload_digest").alias("digest"), F.col("first.page_id").alias("original"), F.col("first.url").alias("original_uri")))
     joined = pages.join(originals, F.col("payload_digest") == F.col("digest"), "left")
@@ -42,9 +43,13 @@ def resolve(pages: DataFrame, smallest: int = 100) -> DataFrame:
 
 
 def record(page_id: int | None, url: str | None, html: bytes, digest: str, size: int, refers_to: int | None, refers_uri: str | None) -> bytes:
-    """One WARC record as a gzip member of its own. A revisit carries the HTTP head but no payload."""
+    """One WARC record as a gzip member of its own. A revisit carries the HTTP head but no payload.
+
+    A response's id follows from its page and payload, so that revisits can name it; a revisit's, which none names, is new.
+    """
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{digest}") if refers_to is None else uuid.uuid4()
     block = HEAD if refers_to is not None else HEAD + html
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}')}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{own}>"]
     lines += [f"WARC-Target-URI: {''.join((url or 'urn:none').split())}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     lines += [f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Length: {size}"]
     if refers_to is not None:
