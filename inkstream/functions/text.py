@@ -62,11 +62,13 @@ def slugify(title: Column, most: int = 60, least: int = 40) -> Column:
     return F.regexp_replace(F.when(F.length(plain) <= most, plain).otherwise(short), "-+$", "")
 
 
-def truncate_words(text: Column, most: int) -> Column:
-    """At most ``most`` characters, cut at the last space within ``most`` - 4 and closed by an ellipsis."""
-    cut = text.substr(F.lit(1), F.lit(most - 4))
+def truncate_words(text: Column, most: int, reserved: int | Column = 0) -> Column:
+    """``text`` if it fits in ``most`` less ``reserved`` less four characters; else cut at the last blank, and an ellipsis."""
+    budget = F.lit(most - 4) - reserved
+    cut = text.substr(F.lit(1), budget)
     last = F.length(cut) - F.instr(F.reverse(cut), " ")
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(F.instr(cut, " ") > 0, cut.substr(F.lit(1), last)).otherwise(cut), F.lit("...")))
+    short = F.concat(F.when((F.instr(cut, " ") > 0) & (last > 0), cut.substr(F.lit(1), last)).otherwise(cut), F.lit("…"))
+    return F.when(F.length(text) <= budget, text).otherwise(short)
 
 
 def escape_xml(text: Column) -> Column:
