@@ -99,3 +99,20 @@ def evidence_ledger(cited: DataFrame, fetched: DataFrame) -> DataFrame:
     rows = joined.groupBy("draft").agg(items.alias("items"), F.count(F.lit(1)).alias("n"), F.count("contentHash").alias("found"))
     payload = F.to_json(F.transform("items", lambda x: F.struct(x["contentHash"].alias("contentHash"), x["url"].alias("url"))))
     return rows.select("draft", F.when((F.col("n") >= 2) & (F.col("found") == F.col("n")), F.sha2(payload, 256)).alias("ledger"))
+
+
+def parity(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(state, n): records (id, h) of ``old`` that ``new`` lacks, has alike, or has with another hash."""
+    other = new.select(F.col("id").alias("i"), F.col("h").alias("g"))
+    state = F.when(F.col("i").isNull(), "missing").when(F.col("h").eqNullSafe(F.col("g")), "same").otherwise("collision")
+    return old.join(other, F.col("id") == F.col("i"), "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def publish_order(drafts: DataFrame, now_ms: int, limit: int, backlog: bool = False, least_hours: int = 12, most_days: int = 21) -> DataFrame:
+    """The first ``limit`` (one to ten) of ``drafts`` (id, created_ms, score): the newest, or the best of a backlog's age."""
+    limit = max(1, min(10, limit))
+    if not backlog:
+        return drafts.orderBy(F.desc("created_ms"), "id").limit(limit)
+    age = F.lit(now_ms) - F.col("created_ms")
+    timely = drafts.where(age.between(max(0, least_hours) * 3_600_000, max(1, most_days) * 86_400_000))
+    return timely.orderBy(F.desc("score"), F.desc("created_ms"), "id").limit(limit)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import aed_compact, round_half_up
+from inkstream.operators import pictures
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
 from inkstream.sources.store import written
@@ -219,23 +220,52 @@ def first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("p_partkey", F.concat(F.lit("provider-"), "b.l_linenumber").alias("source"), F.col("b.url").alias("url"))
 
 
-RANK = "CAST(p_size * 10 + CASE WHEN p_type LIKE '%STEEL%' THEN 100 ELSE 0 END - CASE WHEN p_name LIKE '%red%' THEN 500 ELSE 0 END AS BIGINT)"
+#: An image for each part: its query is the brand, its size and texts follow from the part.
+IMAGES = """img AS (SELECT p_partkey, p_brand, lower(p_name || ' ' || p_type) AS alt, 600 + p_size * 60 AS width, 400 + CAST(p_partkey % 40 AS INT) * 40 AS height,
+CASE p_partkey % 4 WHEN 0 THEN 'wikimedia' WHEN 1 THEN 'openverse' WHEN 2 THEN 'imagen' ELSE 'unsplash' END AS source, 'https://img.example/' || CASE p_partkey % 3 WHEN 0 THEN 'editor_1024/' WHEN 1 THEN 'x?w=1600' ELSE '' END AS url FROM part)"""
+JUNK, OFF = ("brass", "map"), ("copper", "nickel")
 
 
-@query(f"SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, {RANK} AS rank, row_number() OVER (PARTITION BY p_brand ORDER BY {RANK} DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    source = F.when(key % 4 == 0, "wikimedia").when(key % 4 == 1, "openverse").when(key % 4 == 2, "imagen").otherwise("unsplash")
+    url = F.concat(F.lit("https://img.example/"), F.when(key % 3 == 0, "editor_1024/").when(key % 3 == 1, "x?w=1600").otherwise(""))
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("alt"), (F.col("p_size") * 60 + 600).alias("width"), ((key % 40).cast("int") * 40 + 400).alias("height"), source.alias("source"), url.alias("url")
+    )
+
+
+RANK = f"""(CASE source WHEN 'wikimedia' THEN 300 WHEN 'openverse' THEN 250 WHEN 'imagen' THEN -1000 ELSE 400 END + CASE WHEN width::DOUBLE / greatest(height, 1) BETWEEN 1.4 AND 2.1 THEN 200 ELSE 0 END + least(served, 3000)::DOUBLE / 12
++ (contains(alt, 'steel')::INT + contains(alt, 'small')::INT) * 180 - CASE WHEN {' OR '.join(f"contains(alt, '{t}')" for t in JUNK)} THEN 800 ELSE 0 END - CASE WHEN {' OR '.join(f"contains(alt, '{t}')" for t in OFF)} THEN 1200 ELSE 0 END - CASE WHEN served > 0 AND served < 1400 THEN 350 ELSE 0 END)"""
+
+
+@query(
+    f"WITH {IMAGES}, s AS (SELECT *, least(width, CASE WHEN contains(url, 'editor_1024') THEN 1024 WHEN contains(url, 'w=1600') THEN 1600 ELSE width END) AS served FROM img), r AS (SELECT p_brand, p_partkey, {RANK} AS rank FROM s) SELECT p_brand, arg_min(p_partkey, struct_pack(a := -rank, b := p_partkey)) AS p_partkey, max(rank) AS rank FROM r GROUP BY p_brand"
+)
 def best_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidate of the highest rank for each query; earlier ones win ties. A maximum, so no group is sorted."""
-    rank = F.col("p_size") * 10 + F.when(F.col("p_type").contains("STEEL"), 100).otherwise(0) - F.when(F.col("p_name").contains("red"), 500).otherwise(0)
-    rows = load(spark, sf_dir, "part").select("p_brand", "p_partkey", rank.cast("long").alias("rank"))
+    """The image of the highest rank for each query; earlier ones win ties. A maximum, so no group is sorted."""
+    rows = images(spark, sf_dir).select("p_brand", "p_partkey", pictures.rank(("steel", "small"), JUNK, OFF).alias("rank"))
     best = rows.groupBy("p_brand").agg(F.max(F.struct("rank", (-F.col("p_partkey")).alias("minus"))).alias("m"))
     return best.select("p_brand", (-F.col("m.minus")).alias("p_partkey"), F.col("m.rank").alias("rank"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 'too-small' END AS small, CASE WHEN p_retailprice > 1500 THEN 'no-licence' END AS licence, CAST((CASE WHEN p_size < 5 THEN 1 ELSE 0 END + CASE WHEN p_retailprice > 1500 THEN 1 ELSE 0 END) AS INT) AS held FROM part")
+HOLDS = """CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 > 0 THEN NULL ELSE 'path' END, CASE WHEN p_size > 3 THEN NULL ELSE 'alt' END, CASE WHEN p_partkey % 7 IN (0, 1, 2) THEN 'credit' END, CASE WHEN p_partkey % 3 = 0 THEN 'approval' END,
+CASE WHEN p_partkey % 4 = 0 THEN 'rights' END, CASE WHEN p_partkey % 6 IN (0, 1, 2) THEN 'source' END, CASE WHEN NOT (p_size * 100 >= 3840 AND p_size * 60 >= 2160) THEN 'size' END"""
+
+
+@query(f"SELECT p_partkey, array_to_string(list_filter([{HOLDS}], lambda x: x IS NOT NULL), ',') AS reasons FROM part")
 def image_hold_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = F.when(F.col("p_size") < 5, "too-small")
-    licence = F.when(F.col("p_retailprice") > 1500, "no-licence")
-    return load(spark, sf_dir, "part").select("p_partkey", small.alias("small"), licence.alias("licence"), F.size(F.array_compact(F.array(small, licence))).alias("held"))
+    """Why a cover may not be shown: seven checks, of path, alt text, credit, approval, rights, source and size."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    slug = key.cast("string")
+    at = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (key % by + 1).cast("int"))
+    src = F.concat(F.when(key % 2 == 0, F.lit("/news/")).otherwise("/other/"), slug, F.lit("/cover."), F.when(key % 5 == 0, "gif").otherwise("JPEG"))
+    rows = load(spark, sf_dir, "part").select(
+        "p_partkey", slug.alias("slug"), F.lit("A Title").alias("title"), src.alias("src"), F.when(size == 1, " ").when(size == 2, "a  title!").when(size == 3, None).otherwise("A quay").alias("alt"),
+        at((None, "Pending", "editorial archive", "A. Person", "B", "C", "D"), 7).alias("credit"), F.when(key % 3 != 0, "approved-editorial").alias("approval"), F.when(key % 4 == 0, " ").otherwise("owned").alias("rights"),
+        at((None, "http://a.example", "https://u:p@a.example/", "https://a.example/x", "https://a.example", "https://b.example/"), 6).alias("source_url"), (size * 100).alias("width"), (size * 60).alias("height"),
+    )
+    return rows.select("p_partkey", F.array_join(pictures.hold_reasons(), ",").alias("reasons"))
 
 
 @query("SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END + CASE WHEN c_nationkey = 1 THEN 1 ELSE 0 END DESC, c_name, c_custkey) AS rn FROM customer) WHERE rn <= 50")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkstream.functions import events as E
 from inkstream.functions import text as T
 from inkstream.plans.registrar import Registrar
 from inkstream.sources.views import load
@@ -271,11 +272,31 @@ def ip_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")).select("c_custkey", ipv4_blocked(F.col("ip")).alias("blocked"))
 
 
-@query("SELECT event_id, event_type || CASE WHEN k ~ '^[0-9]{1,6}$' THEN ':' || k ELSE '' END AS label FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")
+OWN_HOST = "news.example.com"
+ALLOWED = {"click": ("entity", "destination"), "view": ("entity", "progress"), "purchase": ("entity",), "signup": ("destination",)}
+
+
+def _if_allowed(name: str, value: Column) -> Column:
+    return F.when(F.col("event_type").isin(*[e for e, names in ALLOWED.items() if name in names]), value)
+
+
+@query(
+    r"""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN ' ' || upper(event_type) || ' ' || k WHEN 1 THEN 'id 1234567' WHEN 2 THEN 'me@x' ELSE 'a_b:' || k END AS entity,
+CASE event_id % 4 WHEN 0 THEN 'https://News.example.com/a/' || k || '?q=1' WHEN 1 THEN 'http://Shop.example:80/b#f' WHEN 2 THEN 'mailto:x@y' ELSE '/p/' || k || '?z' END AS dest FROM e),
+t AS (SELECT *, left(lower(trim(entity)), 96) AS low, CASE event_id % 4 WHEN 0 THEN '/a/' || k WHEN 1 THEN 'shop.example/b' WHEN 3 THEN '/p/' || k END AS place FROM r)
+SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') AND NOT regexp_matches(low, '@|(?:mailto|tel):|[?&#=]') AND NOT regexp_matches(low, '\b[0-9]{7,}\b') AND regexp_matches(low, '^[a-z0-9][a-z0-9:_./ -]*$') THEN low END AS entity,
+CASE WHEN event_type IN ('click', 'signup') THEN place END AS destination, CASE WHEN event_type = 'view' AND k % 30 * 5 IN (0, 25, 50, 75, 100) THEN k % 30 * 5 END AS progress FROM t"""
+)
 def event_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowed properties only: a short number is kept, anything else dropped."""
-    k = F.get_json_object("props", "$.k")
-    return load(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.when(k.rlike("^[0-9]{1,6}$"), F.concat(F.lit(":"), k)).otherwise("")).alias("label"))
+    """Of each event the properties that its kind allows, as tokens, places and steps that name no one."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    text, kind = k.cast("string"), F.col("event_id") % 5
+    entity = F.when(kind == 0, F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "), text)).when(kind == 1, "id 1234567").when(kind == 2, "me@x").otherwise(F.concat(F.lit("a_b:"), text))
+    kind = F.col("event_id") % 4
+    dest = F.when(kind == 0, F.concat(F.lit("https://News.example.com/a/"), text, F.lit("?q=1"))).when(kind == 1, "http://Shop.example:80/b#f").when(kind == 2, "mailto:x@y").otherwise(F.concat(F.lit("/p/"), text, F.lit("?z")))
+    return load(spark, sf_dir, "events").select(
+        "event_id", _if_allowed("entity", E.safe_token(entity)).alias("entity"), _if_allowed("destination", E.safe_location(dest, OWN_HOST)).alias("destination"), _if_allowed("progress", E.safe_step(k % 30 * 5)).alias("progress")
+    )
 
 
 @query("WITH r(slug, pos) AS (VALUES ('Customer#000000007', 0), ('Customer#000000003', 1), ('nobody', 2), ('Customer#000000005', 3)) SELECT pos, slug, c_custkey FROM r JOIN customer ON c_name = slug")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstream.operators import folds
+from inkstream.operators import commands, folds
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
 from inkstream.sources.views import DAY_MS, HOUR_MS, load
@@ -85,15 +85,16 @@ def idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", F.when(F.col("id") == F.col("f.id"), "inserted").when(F.col("value") == F.col("f.value"), "replayed").otherwise("conflict").alias("outcome"))
 
 
-CAS = views.sql("requests", recursive=True) + """, c AS (SELECT id, key, CAST(floor(value) AS INT) % 4 AS expected, row_number() OVER (PARTITION BY key ORDER BY ts_ms, id) AS n FROM requests),
-f AS (SELECT id, key, n, expected, expected = 0 AS applied, CASE WHEN expected = 0 THEN 1 ELSE 0 END AS version FROM c WHERE n = 1
-UNION ALL SELECT c.id, c.key, c.n, c.expected, c.expected = f.version % 4, f.version + CASE WHEN c.expected = f.version % 4 THEN 1 ELSE 0 END FROM f JOIN c ON c.key = f.key AND c.n = f.n + 1)"""
+CAS = views.sql("requests", recursive=True) + """, c AS (SELECT id, key, CASE WHEN id % 3 = 0 THEN CAST(floor(value) AS BIGINT) % 9 ELSE -1 END AS expected, row_number() OVER (PARTITION BY key ORDER BY ts_ms, id) AS n FROM requests),
+f AS (SELECT id, key, n, expected IN (-1, 0) AS applied, CASE WHEN expected IN (-1, 0) THEN 1 ELSE 0 END::BIGINT AS version FROM c WHERE n = 1
+UNION ALL SELECT c.id, c.key, c.n, c.expected = -1 OR c.expected = f.version, f.version + CASE WHEN c.expected = -1 OR c.expected = f.version THEN 1 ELSE 0 END FROM f JOIN c ON c.key = f.key AND c.n = f.n + 1)"""
 
 
-@query(CAS + " SELECT id, applied, CAST(version AS BIGINT) AS version FROM f")
+@query(CAS + " SELECT id, applied, version FROM f")
 def cas_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compare-and-set: a command applies if it expects the current version (here modulo 4)."""
-    rows = views.requests(spark, sf_dir).select("key", "ts_ms", "id", (F.floor("value").cast("int") % 4).alias("arg"))
+    """Compare-and-set: a command applies if it expects the current version; -1 expects whatever it is."""
+    expected = F.when(F.col("id") % 3 == 0, F.floor("value") % 9).otherwise(-1)
+    rows = views.requests(spark, sf_dir).select("key", "ts_ms", "id", expected.cast("long").alias("arg"))
     return folds.fold(rows, folds.compare_and_set, "id long, applied boolean, version long")
 
 
@@ -169,17 +170,33 @@ def archive_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("key", "day", F.col("last.id").alias("id"), (F.col("day") == newest).alias("is_current"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS removed, count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS collided FROM orders")
+@query(
+    """WITH o AS (SELECT o_custkey AS id, sha256(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority)) AS h FROM orders GROUP BY 1), n AS (SELECT o_custkey AS id, sha256(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority)) AS h FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
+SELECT CASE WHEN n.id IS NULL THEN 'missing' WHEN o.h = n.h THEN 'same' ELSE 'collision' END AS state, count(*) AS n FROM o LEFT JOIN n ON o.id = n.id GROUP BY 1"""
+)
 def migration_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of an old store against those of a new one by id and content hash."""
-    old = load(spark, sf_dir, "orders").select("o_orderkey", F.xxhash64("o_orderstatus").alias("h"))
-    new = old.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 == 0, F.col("h") + 1).otherwise(F.col("h")).alias("g"))
-    return old.join(new, F.col("o_orderkey") == F.col("k"), "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k").isNull()).alias("removed"), F.count_if(F.col("h") != F.col("g")).alias("collided"))
+    """Records of one store against those of another by id and content hash; here customers by their orders' kinds."""
+    def store(orders: DataFrame) -> DataFrame:
+        kinds = F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",")
+        return orders.groupBy(F.col("o_custkey").alias("id")).agg(F.sha2(kinds, 256).alias("h"))
 
+    orders = load(spark, sf_dir, "orders")
+    return commands.parity(store(orders), store(orders.where("o_totalprice > 100000")))
 
-@query(views.sql("queue_items") + " SELECT id FROM queue_items WHERE status = 'pending' ORDER BY score DESC, created_ms DESC, id LIMIT 10")
+
+AGE = f"({QUEUE_NOW} - created_ms)"
+
+
+@query(views.sql("queue_items") + f" SELECT id FROM queue_items WHERE status = 'pending' ORDER BY created_ms DESC, id LIMIT 10")
+def publish_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten open drafts, newest first."""
+    return commands.publish_order(views.queue_items(spark, sf_dir).where("status = 'pending'"), QUEUE_NOW, 10).select("id")
+
+
+@query(views.sql("queue_items") + f" SELECT id FROM queue_items WHERE status = 'pending' AND {AGE} BETWEEN 43200000 AND 1814400000 ORDER BY score DESC, created_ms DESC, id LIMIT 10")
 def publish_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.queue_items(spark, sf_dir).where("status = 'pending'").orderBy(F.desc("score"), F.desc("created_ms"), "id").limit(10).select("id")
+    """Up to ten open drafts of 12 hours to 21 days, the best score first, then the newest."""
+    return commands.publish_order(views.queue_items(spark, sf_dir).where("status = 'pending'"), QUEUE_NOW, 10, backlog=True).select("id")
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
