@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkstream.functions.text import ascii_words, truncate_words
 
@@ -146,7 +147,7 @@ def submission(urls: DataFrame, host: str, most: int = 10_000) -> DataFrame:
     return rows.select("request", "urls", F.when(F.col("urls") == 0, "empty").when(F.col("urls") > most, "too many").when(F.col("off") > 0, "off host").otherwise("valid").alias("verdict"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def draft_json(text: pd.Series) -> pd.Series:
     """The last complete JSON object in a model's answer that is a draft or a refusal, as JSON; else null."""
     decoder = json.JSONDecoder()

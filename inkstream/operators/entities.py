@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkstream.functions.text import plain_text
 from inkstream.operators import similarity
 from inkstream.sources.store import written
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decomposed(text: pd.Series) -> pd.Series:
     """Compatibility decomposition, which Spark has no function for."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))

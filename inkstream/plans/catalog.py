@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkstream.plans import commands, content, editorial, entities, evidence, market, press, registry, state
+from inkstream.plans import commands, content, editorial, entities, evidence, feeds, market, press, registry, state
 
-MODULES = (commands, content, editorial, entities, evidence, market, press, registry, state)
+MODULES = (commands, content, editorial, entities, evidence, feeds, market, press, registry, state)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

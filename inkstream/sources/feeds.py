@@ -40,3 +40,99 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_replace(F.substring_index("value", "\n\n", 1), "\n[ \t]+", " ")
     sender = F.lower(F.regexp_extract(F.regexp_extract(head, r"(?mi)^From:[ \t]*(.*)$", 1), r"([^\s<>\"]+@[^\s<>\"]+)", 1))
     return files.select("file", sender.alias("from_email"), F.regexp_extract(sender, "@(.+)$", 1).alias("from_domain"), F.regexp_extract(head, r"(?mi)^Subject:[ \t]*(.*)$", 1).alias("subject"), F.regexp_extract("value", r"(?s)\n\n(.*)$", 1).alias("body"))
+
+
+FEED_LIMIT, REDDIT_LIMIT, SUMMARY = 30, 15, 600  # fixed values: entries of a feed, of a listing, characters of a summary
+
+
+def _inside(block: Column, name: str) -> Column:
+    """Decoded text of the first element of a block; a CDATA mark is dropped."""
+    raw = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
+    return F.trim(decode_xml(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")))
+
+
+def _first(*texts: Column) -> Column:
+    return F.coalesce(*[F.when(t != "", t) for t in texts])
+
+
+def feed_entries(feeds: DataFrame, limit: int = FEED_LIMIT) -> DataFrame:
+    """Entries of ``feeds`` (feed, xml, name, domain, aggregator): feed, position, id, title, url, published, summary, name, domain.
+
+    An Atom document has a ``feed`` element, anything else counts as RSS. The first ``limit`` entries are read, then
+    those without title or link dropped. Of an aggregator's entry the publisher is lifted from its ``source`` element
+    and cut from the end of its title. Malformed documents give the entries that can be read.
+    """
+    atom = F.col("xml").rlike(r"(?i)<feed[\s>]")
+    pieces = F.when(atom, F.split("xml", r"(?i)<entry(?=[\s>])")).otherwise(F.split("xml", r"(?i)<item(?=[\s>])"))
+    rows = feeds.withColumn("__atom", atom).select("*", F.posexplode(F.slice(pieces, 2, limit)).alias("position", "__rest"))
+    block = F.when(F.col("__atom"), F.element_at(F.split("__rest", "(?i)</entry>"), 1)).otherwise(F.element_at(F.split("__rest", "(?i)</item>"), 1))
+    rows = rows.withColumn("__b", block)
+    b = F.col("__b")
+    href = decode_xml(F.regexp_extract(b, r"""(?is)<link\b(?![^>]*rel=["'](?!alternate)[^"']*["'])[^>]*href=["']([^"']+)["']""", 1))
+    any_href = decode_xml(F.regexp_extract(b, r"""(?is)<link\b[^>]*href=["']([^"']+)["']""", 1))
+    link = F.when(F.col("__atom"), _first(href, any_href)).otherwise(_first(_inside(b, "link")))
+    summary = F.when(F.col("__atom"), _first(_inside(b, "summary"), _inside(b, "content"))).otherwise(_first(_inside(b, "description"), _inside(b, "content:encoded")))
+    when = F.when(F.col("__atom"), _first(_inside(b, "published"), _inside(b, "updated"))).otherwise(_first(_inside(b, "pubDate")))
+    publisher, home = (F.regexp_extract(b, r"""(?is)<source[^>]*url=["']([^"']+)["'][^>]*>(.*?)</source>""", i) for i in (2, 1))
+    lifted = F.col("aggregator") & (decode_xml(publisher) != "")
+    plain = strip_html(_inside(b, "title"))
+    tail = F.concat(F.lit(" - "), decode_xml(publisher))
+    title = F.when(lifted & F.endswith(plain, tail), F.trim(plain.substr(F.lit(1), F.length(plain) - F.length(tail)))).otherwise(plain)
+    host = F.regexp_replace(F.regexp_extract(home, "^https?://([^/?#:]+)", 1), r"^www\.", "")
+    out = rows.select(
+        "feed", "position", _first(_inside(b, "guid"), _inside(b, "id"), link).alias("id"), title.alias("title"), link.alias("url"), when.alias("published"),
+        F.substring(strip_html(F.coalesce(summary, F.lit(""))), 1, SUMMARY).alias("summary"), F.when(lifted, decode_xml(publisher)).otherwise(F.col("name")).alias("name"),
+        F.when(F.col("aggregator") & (host != ""), host).otherwise(F.col("domain")).alias("domain"),
+    )
+    return out.where((F.col("title") != "") & F.col("url").isNotNull())
+
+
+def on_approved_host(url: Column, domain: Column) -> Column:
+    """Whether an address is https, without user name, fragment or odd port, on the domain or one below it."""
+    host = F.lower(F.regexp_extract(url, r"^https://([^/?#@:]+)(?::443)?(?:[/?#]|$)", 1))
+    return F.coalesce((host != "") & ~F.contains(url, F.lit("#")) & ((host == domain) | F.endswith(host, F.concat(F.lit("."), domain))), F.lit(False))
+
+
+LISTING = "data struct<children: array<struct<data: struct<title: string, permalink: string, url: string, selftext: string, subreddit: string, created_utc: double, stickied: boolean, over_18: boolean>>>>"
+
+
+def listing_entries(listings: DataFrame, host: str, limit: int = REDDIT_LIMIT) -> DataFrame:
+    """Entries of saved forum listings (feed, json): feed, position, title, url, published_s, summary.
+
+    Of the first ``limit`` posts pinned, adult and untitled ones, and those without an address, are dropped.
+    """
+    posts = F.slice(F.from_json("json", LISTING)["data"]["children"], 1, limit)
+    rows = listings.select("feed", F.posexplode(posts).alias("position", "c")).select("feed", "position", "c.data.*")
+    url = F.when(F.coalesce("permalink", F.lit("")) != "", F.concat(F.lit(f"https://{host}"), "permalink")).otherwise(F.col("url"))
+    body = F.trim(F.regexp_replace(F.coalesce("selftext", F.lit("")), r"\s+", " "))
+    summary = F.when(body != "", body).otherwise(F.concat(F.lit("Discussion in r/"), "subreddit"))
+    good = (F.coalesce("title", F.lit("")) != "") & ~F.coalesce("stickied", F.lit(False)) & ~F.coalesce("over_18", F.lit(False)) & (F.coalesce(url, F.lit("")) != "")
+    return rows.where(good).select("feed", "position", "title", url.alias("url"), F.col("created_utc").cast("long").alias("published_s"), F.substring(summary, 1, SUMMARY).alias("summary"))
+
+
+def sitemap_locs(xml: Column) -> Column:
+    """Distinct addresses of a sitemap, decoded."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), decode_xml))
+
+
+#: Names under which a transaction feed may hold its columns, in order of precedence.
+TRANSACTION = {
+    "worth": ("actual_worth", "trans_value", "amount", "worth"), "day": ("instance_date", "transaction_date", "date"), "area": ("area_name_en", "area_en", "area"),
+    "project": ("master_project_en", "project_name_en", "project_en"), "per_sqm": ("meter_sale_price", "price_per_sqm"),
+}
+CONTAINERS = ("result", "data", "records")
+
+
+def transaction_rows(replies: DataFrame) -> DataFrame:
+    """(worth, day, area, project, per_sqm) of saved replies (json): a bare array, or one in a known container.
+
+    The first column that is present counts; what is no number is nought.
+    """
+    names = ", ".join(f"{n}: string" for some in TRANSACTION.values() for n in some)
+    kind = f"array<struct<{names}>>"
+    whole = F.from_json("json", ", ".join(f"{c} {kind}" for c in CONTAINERS))
+    rows = F.when(F.ltrim("json").startswith("["), F.from_json("json", kind)).otherwise(F.coalesce(*[whole[c] for c in CONTAINERS]))
+    each = replies.select(F.explode(rows).alias("r"))
+    pick = {n: F.coalesce(*[F.col(f"r.{c}") for c in some]) for n, some in TRANSACTION.items()}
+    number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
+    return each.select(number(pick["worth"]).alias("worth"), pick["day"].alias("day"), F.trim(pick["area"]).alias("area"), F.trim(pick["project"]).alias("project"), number(pick["per_sqm"]).alias("per_sqm"))
