@@ -118,7 +118,7 @@ def brief_bounded(brief: Column, sources: Column) -> Column:
     refs = F.regexp_extract_all(text, F.lit(ascii_words(r"\bS([0-9]+)\b")), F.lit(1))
     known = F.forall(refs, lambda r: r.try_cast("long").between(1, sources))
     words = F.size(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}’'-]*)"), F.lit(1)))
-    return (F.size(refs) > 0) & known & words.between(400, 600) & ~text.rlike(r"(?i)https?://")
+    return (F.size(refs) > 0) & F.coalesce(known, F.lit(False)) & words.between(400, 600) & ~text.rlike(r"(?i)https?://")
 
 
 #: Fixed value: the form of a slug; its day must be a real one.

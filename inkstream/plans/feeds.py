@@ -70,7 +70,7 @@ def sitemap_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("site", F.explode(feeds.sitemap_locs(F.col("xml"))).alias("loc")).distinct()
 
 
-@query(r"SELECT page_id, regexp_matches(url, '^https://([a-z0-9.]+\.)?example\.com(/|$)') AND NOT contains(url, '#') AS ok FROM pages")
+@query(r"SELECT page_id, regexp_matches(url, '^https://([^/?#@:]+\.)?example\.com(/|\?|$)') AND NOT contains(url, '#') AS ok FROM pages")
 def url_host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", feeds.on_approved_host(F.col("url"), F.lit("example.com")).alias("ok"))
 
