@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstream.operators import content
+from inkstream.functions import labels as L
+from inkstream.operators import content, media
 from inkstream.operators.content import FORMATS
 from inkstream.operators.similarity import top
 from inkstream.plans.registrar import Registrar
@@ -218,4 +219,55 @@ def draft_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(spark, sf_dir).select("slug", F.md5(content.draft_json(answer)).alias("digest"))
 
 
+FOLLOWS = r"(?i)\b(?:thon|ouen|was of)\b"
+
+
+@query(SHAPED + rf""" SELECT slug, coalesce(list_filter(string_split_regex(replace(body, chr(10), chr(10) || chr(10)), '\n\n+'), lambda p: p <> '' AND regexp_matches(p, '{FOLLOWS}'))[1], points[3], points[1]) AS excerpt,
+left(trim(regexp_replace(array_to_string(list_slice(list_filter(string_split_regex(trim(replace(body, chr(10), chr(10) || chr(10)), ' ' || chr(10) || chr(9)), '\n[ \t]*\n'), lambda p: trim(p, ' ' || chr(10) || chr(9)) <> ''), 1, 3), ' '), '[ \t\n]+', ' ', 'g')), 600) AS voice FROM s""")
+def article_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows from each article, and what is read out of it; a line stands for a paragraph."""
+    body = F.replace("body", F.lit("\n"), F.lit("\n\n"))
+    return _shaped(spark, sf_dir).select("slug", L.consequence_excerpt(body, F.col("points"), FOLLOWS).alias("excerpt"), L.voice_excerpt(body).alias("voice"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/avif' ELSE 'image/jpeg' END AS mime, CASE p_partkey % 5 WHEN 4 THEN 'video' ELSE 'image' END AS kind FROM part""")
+def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(*map(F.lit, (".PNG?x=1", ".jpeg", ".avif#a", "", ".Mp4"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    url = F.concat(F.lit("https://a.example/"), F.col("p_partkey").cast("string"), ends)
+    return load(spark, sf_dir, "part").select("p_partkey", L.image_mime(url).alias("mime"), L.media_kind(url).alias("kind"))
+
+
+ABROAD, HOME = ("Thon", "Der", "La"), ("The", "Und")
+HEAD = r"' ' || trim(regexp_replace(replace(lower(title || ' ' || subtitle), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+@query(SHAPED + rf""", x AS (SELECT slug, market, {HEAD} AS t, trim(regexp_replace(replace(lower(title), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS h FROM s), y AS (SELECT *, CASE {' '.join(f"WHEN contains(t, ' {m.lower()} ') THEN '{m}'" for m in ABROAD)} END AS n, {' OR '.join(f"contains(t, ' {m.lower()} ')" for m in HOME)} AS local FROM x)
+SELECT slug, CASE WHEN n IS NOT NULL AND (NOT local OR starts_with(h, lower(n))) THEN n ELSE market END AS markets FROM y""")
+def display_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.display_markets(F.col("title"), F.col("subtitle"), F.array("market"), ABROAD, HOME)
+    return _shaped(spark, sf_dir).select("slug", F.array_join(found, ",").alias("markets"))
+
+
+QUEUE = {"email": "Hello {target}, on {title}: {point1}", "linkedin": "{title}\n\n{point1}\n\n{point2}", "forum": "Re {title} — {subtitle}"}
+
+
+@query(SHAPED + " " + " UNION ALL ".join(f"SELECT slug, '{c}' AS channel, {_sql_fill(t.replace('{target}', 'desk'), 'NULL')} AS draft FROM s WHERE status IS DISTINCT FROM 'research'" for c, t in QUEUE.items()))
+def queue_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft for the queue of each live article and channel, from templates that a desk passes."""
+    live = _shaped(spark, sf_dir).where(~F.col("status").eqNullSafe("research"))
+    fields = {"target": F.lit("desk"), "title": F.col("title"), "subtitle": F.col("subtitle"), "point1": F.get("points", 0), "point2": F.get("points", 1)}
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), content.filled(t, fields).alias("draft")) for c, t in QUEUE.items()])
+    return live.select("slug", F.explode(each).alias("d")).select("slug", "d.channel", "d.draft")
+
+
+@query()
+def media_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture for each part, none twice; no SQL, ``tests/test_media.py`` compares with the scan."""
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    own = part.select(F.col("p_partkey").alias("article"), F.col("p_partkey").alias("place"), F.when(F.col("p_size") < 20, F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).alias("src"))
+    names = F.array(*[F.concat("p_brand", F.lit("-"), F.pmod(F.xxhash64("p_partkey", F.lit(i)), F.lit(60)).cast("string")) for i in range(4)])
+    some = part.select(F.col("p_partkey").alias("article"), F.posexplode(names).alias("rank", "src"))
+    return media.assign(own, some)
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
