@@ -33,7 +33,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes pre-tokens by merging the adjacent pair of lowest rank, and remembers up to ``limit`` of them."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 150_000):
+    def __init__(self, path: str, pattern: str, limit: int = 65_536):
         import regex
 
         self.ranks, self.limit, self.known = load_ranks(path), limit, {}
