@@ -518,8 +518,8 @@ def links(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     members = groups.select("group", F.explode("members").alias("member"))
     centres = groups.groupBy(F.col("group").alias("g")).agg(F.min(F.array_min("members")).alias("centre"))
     inside = members.select("member").distinct()
-    marks = rows.where("bits IS NOT NULL").join(inside, F.col("class") == F.col("member"), "left_semi")
-    marks = materialize(marks.groupBy("class").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+    marks = rows.where("bits IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    marks = materialize(marks.join(inside, F.col("class") == F.col("member"), "left_semi"))  # copies are folded first, however many
     first = marks.select("class", "key")
     pairs = members.join(centres, F.col("group") == F.col("g")).where("member <> centre").groupBy("centre", "member").agg(F.count(F.lit(1)).alias("lists"))
     pairs = materialize(_may_link(pairs, marks, rule))
