@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import avi, byte_bpe, jaccard_join, lm_scoring, mixing, order_minhash, substring_dedup, token_files, toxicity, warc
+from inkstream.llm import avi, byte_bpe, jaccard_join, lm_scoring, merkle, mixing, oracle, order_minhash, quality_rules, spelling, substring_dedup, token_files, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's figures, and whether the base and the cutoffs certified on ``labels`` keep it."""
+    return quality_rules.passed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of ``documents`` with its more frequent form and the root to which forms lead."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root; where 3 divides the crc32 of its doc_id a lower-cased text is checked."""
+    docs = _read(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.check(merkle.manifest(docs, F.when(chosen, lowered)))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -69,6 +87,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_order_minhash": op9_order_minhash,
     "op10_avi": op10_avi,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +101,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN original <> page_id THEN original END AS refers_to
         FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest
     """,
+    "op11_quality_rules": oracle.quality_rules_sql(),
+    "op12_spelling_variants": oracle.spelling_variants_sql(),
+    "op13_merkle_manifest": oracle.merkle_manifest_sql(),
 }
