@@ -112,3 +112,11 @@ def table(**columns) -> pa.RecordBatch:
 def doc_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones never clash with those an operator adds."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores ahead until no column of ``taken`` has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import doc_rows, materialize
+from inkstream.llm.common import fresh, materialize
 
 BLOCK_TOKENS = 1 << 20
 WAYS = 32  # exponents tried at once
@@ -67,12 +67,14 @@ def exponent(table: DataFrame, entropy: float | None = None, passes: float | Non
 
 
 def mix(docs: DataFrame, entropy: float | None = 0.9, passes: float | None = 2.0, seed: int = 0) -> DataFrame:
-    """All columns of ``docs`` with n_tokens, weight, copies, block and place.
+    """All columns of ``docs`` with tokens, weight, copies, block and place.
 
     The budget is the least that takes every document once: the most reduced source gets one pass. Every other source
     gets budget * weight tokens: ``copies`` of all its documents, and one more of those whose block comes first in the
     source's permutation until the rest of its budget is used; of the block in which it ends, documents in hashed order.
-    Documents without tokens are taken once. ``place`` orders a pass: block by block in permuted order.
+    Documents without tokens are taken once. ``place`` orders a pass: block by block in permuted order. The added
+    columns come last, as __tokens, __weight, __copies, __block and __place; where ``docs`` has one of these names the
+    added one has more underscores.
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), tokens_of(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
@@ -103,5 +105,8 @@ def mix(docs: DataFrame, entropy: float | None = 0.9, passes: float | None = 2.0
     edge = materialize(edge.withColumn("upto", F.sum("t").over(inside)).select(F.col("s").alias("es"), F.col("block").alias("eb"), F.col("h").alias("eh"), "upto"))
     marked = marked.join(edge, part & F.col("source").eqNullSafe(F.col("es")) & (F.col("b") == F.col("eb")) & (F.col("h") == F.col("eh")), "left")
     more = F.when(F.col("n_tokens") == 0, 0).when(F.col("take") == 0, 0).when(F.col("take") == F.col("block_tokens"), 1).otherwise((F.col("upto") <= F.col("take")).cast("int"))
-    kept = [F.col(f"row.`{c}`").alias(c) for c in names]
-    return marked.select(*kept, F.col("n_tokens").alias("__tokens"), F.col("weight").alias("__weight"), F.when(F.col("n_tokens") == 0, 1).otherwise(F.col("whole") + more).cast("int").alias("__copies"), F.col("turn").alias("__block"), F.pmod(F.xxhash64("h"), F.lit(1 << 40)).alias("__place"))
+    ends = {
+        "__tokens": F.col("n_tokens"), "__weight": F.col("weight"), "__copies": F.when(F.col("n_tokens") == 0, 1).otherwise(F.col("whole") + more).cast("int"),
+        "__block": F.col("turn"), "__place": F.pmod(F.xxhash64("h"), F.lit(1 << 40)),
+    }
+    return marked.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[x.alias(fresh(n, names)) for n, x in ends.items()])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import doc_rows, materialize, partitions, ship, sliced, table, texts
+from inkstream.llm.common import fresh, materialize, partitions, ship, sliced, table, texts
 from inkstream.llm.jaccard_join import mix
 
 SENTENCES = 2  # fewest sentences of a run
@@ -134,17 +134,17 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, its text without repeated sentences, and __sentences and __removed counts.
+    """All columns of ``docs``, its text without repeated sentences, and __sentences and __removed counts at the end.
 
     Rows that agree in doc_id and text are one document and are cut alike. A null text stays null, an empty one empty;
-    a null doc_id comes before all others. A document may lose all its text.
+    a null doc_id comes before all others. A document may lose all its text. Where ``docs`` has a column of the counts'
+    names, theirs have more underscores.
     """
     ship(docs.sparkSession)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    cut = repeats(keyed.select("doc_id", "text", F.col("__key").alias("key")))
-    joined = keyed.join(materialize(cut.select(F.col("key").alias("__cut"), F.col("runs").alias("__runs"))), F.col("__key") == F.col("__cut"), "left")
-    columns = [c for c in docs.columns if c != "text"]
-    renamed = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "text", F.col("__runs").alias("runs"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "text", F.xxhash64("doc_id", "text").alias("key"))
+    cut = materialize(repeats(renamed.select(F.col(names["doc_id"]).alias("doc_id"), "text", "key")).withColumnRenamed("key", "cut"))
+    joined = renamed.join(cut, F.col("key") == F.col("cut"), "left").drop("key", "cut")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -160,7 +160,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             kept = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "runs")}
             yield table(**kept, text=pa.array(out, pa.binary()).cast(pa.string()), sentences=pa.array(counts, pa.int64()), removed=pa.array(lost, pa.int64()))
 
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in renamed.schema if f.name not in ("text", "runs"))
-    done = renamed.mapInArrow(apply, f"{fields}text string, sentences long, removed long")
-    names = {c: f"c{i}" for i, c in enumerate(columns)}
-    return done.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns], F.col("sentences").alias("__sentences"), F.col("removed").alias("__removed"))
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in joined.schema if f.name not in ("text", "runs"))
+    done = joined.mapInArrow(apply, f"{fields}text string, sentences long, removed long")
+    ends = [F.col(c).alias(fresh(f"__{c}", docs.columns)) for c in ("sentences", "removed")]
+    return done.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns], *ends)

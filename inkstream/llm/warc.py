@@ -24,36 +24,47 @@ HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def resolve(pages: DataFrame, smallest: int = 100) -> DataFrame:
-    """Add payload_digest, payload_bytes, refers_to and refers_uri to ``pages`` (page_id, url, html).
+    """Add payload_digest, payload_bytes, refers_to, refers_uri and named to ``pages`` (page_id, url, html).
 
     Of rows with equal payloads of at least ``smallest`` bytes the one with the smallest page_id is the original and
     the others refer to it. A null html is an empty payload. Rows that repeat the original's page_id are originals too;
-    where their urls differ, references name the smallest, a null one being empty.
+    where their urls differ, references name the smallest, a null one being empty. ``named`` marks the original and its
+    revisits if that page_id and url are one row's only, so that its record's id can be given: records whose rows are
+    alike in all are each their own, and their revisits name page and url alone.
     A null page_id is never an original while another row has that payload.
     """
     pages = doc_rows(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     pages = pages.withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    headers = pages.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest")
-    originals = headers.agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))).alias("first"))
+    headers = pages.where(F.col("payload_bytes") >= smallest).select("payload_digest", "page_id", F.coalesce("url", F.lit("")).alias("uri"))
+    alike = headers.groupBy("payload_digest", "page_id", "uri").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri", "n"))).alias("first")
+    originals = alike.groupBy("payload_digest").agg(F.sum("n").alias("copies"), first)
     originals = originals.where((F.col("copies") > 1) & F.col("first.page_id").isNotNull())
-    originals = materialize(originals.select(F.col("payload_digest").alias("digest"), F.col("first.page_id").alias("original"), F.col("first.url").alias("original_uri")))
+    named = (F.col("first.n") == 1).alias("named")
+    originals = materialize(originals.select(F.col("payload_digest").alias("digest"), F.col("first.page_id").alias("original"), F.col("first.uri").alias("original_uri"), named))
     joined = pages.join(originals, F.col("payload_digest") == F.col("digest"), "left")
     copy = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(copy, F.col("original")).alias("refers_to"), F.when(copy, F.col("original_uri")).alias("refers_uri"))
+    known = F.coalesce(F.col("named") & (copy | (F.coalesce("url", F.lit("")) == F.col("original_uri"))), F.lit(False))
+    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(copy, F.col("original")).alias("refers_to"), F.when(copy, F.col("original_uri")).alias("refers_uri"), known.alias("named"))
 
 
-def record(page_id: int | None, url: str | None, html: bytes, digest: str, size: int, refers_to: int | None, refers_uri: str | None) -> bytes:
+def original_id(page_id: int, uri: str, digest: str) -> uuid.UUID:
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{digest}|{uri}")
+
+
+def record(page_id: int | None, url: str | None, html: bytes, digest: str, size: int, refers_to: int | None, refers_uri: str | None, named: bool) -> bytes:
     """One WARC record as a gzip member of its own. A revisit carries the HTTP head but no payload.
 
-    A response's id follows from its page and payload, so that revisits can name it; a revisit's, which none names, is new.
+    The id of a ``named`` response follows from page, url and payload, so that revisits can name it; all others are new.
     """
-    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{digest}") if refers_to is None else uuid.uuid4()
+    own = original_id(page_id, url or "", digest) if named and refers_to is None else uuid.uuid4()
     block = HEAD if refers_to is not None else HEAD + html
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{own}>"]
     lines += [f"WARC-Target-URI: {''.join((url or 'urn:none').split())}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     lines += [f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Length: {size}"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}|{digest}')}>"]
+        lines += [f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: <urn:uuid:{original_id(refers_to, refers_uri or '', digest)}>"] if named else []
         lines += [f"WARC-Refers-To-Target-URI: {''.join((refers_uri or 'urn:none').split())}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 4, mtime=0)
@@ -97,7 +108,7 @@ def write_archives(resolved: DataFrame, folder: str, roll: int = 256 << 20) -> D
                     store.create_dir(path, recursive=True)
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     stream = store.open_output_stream(f"{path}/{name}", compression=None)
-                data = record(row["page_id"], row["url"], html, row["payload_digest"], row["payload_bytes"], row["refers_to"], row["refers_uri"])
+                data = record(row["page_id"], row["url"], html, row["payload_digest"], row["payload_bytes"], row["refers_to"], row["refers_uri"], row["named"])
                 stream.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= roll:

@@ -14,9 +14,10 @@ ROWS = [
     (7, "é" * 5000 + " \U0001f600 x", "fr", "c", 5004), (None, "A text without a number. It has two sentences.", "en", "a", 46),
     (8, "A text without a number. It has two sentences.", "en", "a", 46), (9, "x" * 100_000, "de", "a", 100_000),
 ]
-EXTRA = ["bucket", "key", "part", "group", "member", "class", "score", "c0", "row", "s", "b", "block", "h", "u", "v"]
+EXTRA = ["bucket", "key", "part", "group", "member", "class", "score", "c0", "row", "s", "b", "block", "h", "u", "v", "word", "n", "g", "digest", "place"]
+EXTRA += ["__key", "__cut", "__runs", "__sentences", "__removed", "__copies", "__copy", "__tokens", "__gone", "gone", "copy", "removed", "steps"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
-OPERATORS = [n for n in catalog.QUERIES if n != "op5_warc"]
+OPERATORS = [n for n in catalog.QUERIES if n not in ("op5_warc", "op12_spelling_variants")]
 
 
 def tables(spark, folder, rows):
@@ -69,6 +70,8 @@ def test_pipeline_stages(spark, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, odd))
         assert docs.columns == columns, name
+        for r in docs.select(*EXTRA).distinct().collect():
+            assert list(r) == EXTRA, name
     assert docs.count() > 0
     texts = [r.text for r in docs.collect()]
     assert sum(t is not None and t.startswith("one two three") for t in texts) <= 2
