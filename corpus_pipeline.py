@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.llm import byte_bpe, jaccard_join, mixing, substring_dedup, toxicity
-from inkstream.llm.common import materialize
+from inkstream.llm.common import fresh, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,22 +22,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     doc_id, all of them stay; where they repeat that of a row that goes, each goes by its own text.
     """
     groups = jaccard_join.join(docs, jaccard_join.Rule(n=5, num=80, den=100), "key")
-    gone = materialize(groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("key").alias("__gone")).distinct())
-    return docs.join(gone, jaccard_join.row_key() == F.col("__gone"), "left_anti")
+    name = fresh("gone", docs.columns)
+    later = groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    gone = materialize(later.select(F.col("key").alias(name)).distinct())
+    return docs.join(gone, jaccard_join.row_key() == F.col(name), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat earlier ones; n_chars follows the text. Emptied documents go."""
     out = substring_dedup.deduplicate(docs)
-    columns = [F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col(f"`{c}`")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.where("__removed = 0 OR length(trim(text)) > 0").select(*columns)
+    removed = F.col(out.columns[-1])
+    length = F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    columns = [length if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.where((removed == 0) | (F.length(F.trim("text")) > 0)).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: once at least, and the smaller sources up to twice."""
     out = mixing.mix(docs)
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return out.withColumn("__copy", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.col(out.columns[len(docs.columns) + 2])
+    times = F.explode(F.sequence(F.lit(1), copies)).alias(fresh("copy", docs.columns))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], times).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
