@@ -1,4 +1,4 @@
-"""Readers of feed and mail files as DataFrames of entries and messages."""
+"""Readers of feeds, listings, sitemaps and transaction replies."""
 
 from __future__ import annotations
 
@@ -34,14 +34,6 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.length("url") > 0)
 
 
-def read_eml(spark: SparkSession, path: str) -> DataFrame:
-    """file, from_email, from_domain, subject and body of every message file; folded header lines are joined."""
-    files = spark.read.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    head = F.regexp_replace(F.substring_index("value", "\n\n", 1), "\n[ \t]+", " ")
-    sender = F.lower(F.regexp_extract(F.regexp_extract(head, r"(?mi)^From:[ \t]*(.*)$", 1), r"([^\s<>\"]+@[^\s<>\"]+)", 1))
-    return files.select("file", sender.alias("from_email"), F.regexp_extract(sender, "@(.+)$", 1).alias("from_domain"), F.regexp_extract(head, r"(?mi)^Subject:[ \t]*(.*)$", 1).alias("subject"), F.regexp_extract("value", r"(?s)\n\n(.*)$", 1).alias("body"))
-
-
 FEED_LIMIT, REDDIT_LIMIT, SUMMARY = 30, 15, 600  # fixed values: entries of a feed, of a listing, characters of a summary
 
 

@@ -20,9 +20,3 @@ def test_atom(spark, tmp_path):
     )
     (row,) = feeds.read_atom(spark, str(tmp_path)).collect()
     assert (row.id, row.title, row.url, row.summary) == ("7", "T", "https://a.example/y", "S")
-
-
-def test_eml(spark, tmp_path):
-    (tmp_path / "m.eml").write_bytes(b"From: News Room <NewsRoom@Press.Example>\r\nSubject: A long\r\n subject\r\n\r\nBody one\r\n\r\nBody two")
-    (row,) = feeds.read_eml(spark, str(tmp_path)).collect()
-    assert tuple(row) == ("m.eml", "newsroom@press.example", "press.example", "A long subject", "Body one\n\nBody two")
