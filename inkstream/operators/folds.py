@@ -65,12 +65,3 @@ def lease(held_ms: int, failed_ms: int) -> Step:
         return until, (ok, until)
 
     return step
-
-
-def publication(state, ts, arg):
-    """Commands 0 claim, 1 commit, 2 complete over draft, publishing, committed, completed; any other is a conflict."""
-    states = ("draft", "publishing", "committed", "completed")
-    now = state or 0
-    if arg == now < len(states) - 1:
-        return now + 1, (states[now + 1], "applied")
-    return now, (states[now], "repeated" if arg > 0 and arg + 1 == now else "conflict")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.operators import commands, folds
+from inkstream.operators import commands, folds, timed
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
 from inkstream.sources.views import DAY_MS, load
@@ -132,4 +132,50 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.evidence_ledger(even.union(docs.where("doc_id % 2 = 1").select(draft, "source")), fetched)
 
 
+PUBLICATION = dict(kind="v % 3", claim="id % 2", sha="v % 2")
+PUBLISHED = (
+    scan(
+        """c.ts_ms AS at_ms, CASE WHEN c.kind = 0 THEN 1 ELSE 0 END AS stage, c.claim AS held, c.ts_ms AS started, -1::BIGINT AS done_sha, 0::BIGINT AS receipt,
+CASE WHEN c.kind = 0 THEN 'acquired' ELSE 'conflict' END AS outcome""",
+        """c.ts_ms, CASE WHEN f.stage = 0 AND c.kind = 0 THEN 1 WHEN f.stage = 1 AND c.kind = 1 AND c.claim = f.held THEN 2 WHEN f.stage = 2 AND c.kind = 2 AND c.claim = f.held THEN 3 ELSE f.stage END,
+CASE WHEN f.stage = 0 THEN c.claim ELSE f.held END, CASE WHEN f.stage = 0 THEN c.ts_ms ELSE f.started END,
+CASE WHEN f.stage = 1 AND c.kind = 1 AND c.claim = f.held THEN c.sha ELSE f.done_sha END, CASE WHEN f.stage = 2 AND c.kind = 2 AND c.claim = f.held THEN c.ts_ms + 2592000000 ELSE f.receipt END,
+CASE WHEN f.stage = 0 THEN CASE WHEN c.kind = 0 THEN 'acquired' ELSE 'conflict' END WHEN f.stage = 3 THEN CASE WHEN c.kind = 2 AND c.claim = f.held AND c.ts_ms < f.receipt THEN 'repeated' ELSE 'gone' END
+WHEN c.kind = 0 THEN CASE WHEN f.stage = 2 THEN 'awaiting' WHEN c.ts_ms >= f.started + 300000 THEN 'resumed' ELSE 'busy' END WHEN c.claim <> f.held THEN 'conflict'
+WHEN c.kind = 1 THEN CASE WHEN f.stage = 1 THEN 'committed' WHEN c.sha = f.done_sha THEN 'repeated' ELSE 'conflict' END WHEN f.stage = 1 THEN 'conflict' ELSE 'completed' END""",
+        **PUBLICATION,
+    )
+    + """, h AS (SELECT max(ts_ms) AS upto FROM requests), e AS (
+SELECT key, at_ms, id, stage, outcome, started, receipt FROM f
+UNION ALL SELECT a.key, a.at_ms + 300000, NULL, 1, 'stale', a.started, 0 FROM f a, h WHERE outcome = 'acquired' AND a.at_ms + 300000 <= upto AND NOT EXISTS (SELECT 1 FROM f b WHERE b.key IS NOT DISTINCT FROM a.key AND b.outcome = 'committed' AND b.at_ms < a.at_ms + 300000)
+UNION ALL SELECT key, receipt, NULL, 3, 'receipt gone', started, receipt FROM f, h WHERE outcome = 'completed' AND receipt <= upto
+UNION ALL SELECT key, receipt + 28944000000, NULL, 3, 'archive gone', started, receipt FROM f, h WHERE outcome = 'completed' AND receipt + 28944000000 <= upto)
+SELECT key, at_ms, id, list_extract(['draft', 'publishing', 'committed', 'completed'], stage + 1) AS state, outcome, CASE WHEN stage > 0 THEN started END AS started_ms,
+CASE WHEN stage = 3 AND at_ms < receipt THEN receipt END AS receipt_ms, CASE WHEN stage = 3 AND at_ms < receipt + 28944000000 THEN receipt + 28944000000 END AS archive_ms FROM e"""
+)
+
+
+@query(PUBLISHED)
+def publication_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims, commits and completions of publications, and what comes by itself: stale claims, receipts and archives that go."""
+    found = rows(spark, sf_dir, **PUBLICATION)
+    schema = "state string, outcome string, started_ms long, receipt_ms long, archive_ms long"
+    return timed.fold(found, timed.Publication(), schema, timed.horizon(found))
+
+
+@query(
+    scan(
+        "true AS acquired, c.ts_ms + CASE WHEN c.fails = 1 THEN 3600000 ELSE 2700000 END AS until_ms, c.ts_ms AS at_ms",
+        "c.ts_ms >= f.until_ms, CASE WHEN c.ts_ms >= f.until_ms THEN c.ts_ms + CASE WHEN c.fails = 1 THEN 3600000 ELSE 2700000 END ELSE f.until_ms END, c.ts_ms",
+        fails="CASE WHEN v % 3 = 0 THEN 1 ELSE 0 END",
+    )
+    + """ SELECT key, at_ms, id, CASE WHEN acquired THEN 'acquired' ELSE 'held' END AS outcome, until_ms FROM f
+UNION ALL SELECT key, until_ms, NULL, 'expired', until_ms FROM f WHERE acquired AND until_ms <= (SELECT max(ts_ms) FROM requests)"""
+)
+def lease_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leases acquired, refused and run out, the last without a request; a failed holder keeps a key for an hour, others 45 minutes."""
+    found = rows(spark, sf_dir, fails="CASE WHEN v % 3 = 0 THEN 1 ELSE 0 END").withColumn("arg", F.col("arg.fails") == 1)
+    return timed.fold(found, timed.Lease(45 * MINUTE, 60 * MINUTE), "outcome string, until_ms long", timed.horizon(found))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -147,21 +147,6 @@ def lease_acquire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold(rows, folds.lease(45 * 60_000, 60 * 60_000), "id long, acquired boolean, until_ms long")
 
 
-FSM = views.sql("requests", recursive=True) + """, c AS (SELECT id, key, CASE CAST(floor(value) AS INT) % 3 WHEN 0 THEN 'claim' WHEN 1 THEN 'commit' ELSE 'complete' END AS command, row_number() OVER (PARTITION BY key ORDER BY ts_ms, id) AS n FROM requests),
-f AS (SELECT id, key, n, CASE WHEN command = 'claim' THEN 'publishing' ELSE 'draft' END AS state, CASE WHEN command = 'claim' THEN 'applied' ELSE 'conflict' END AS outcome FROM c WHERE n = 1
-UNION ALL SELECT c.id, c.key, c.n,
-CASE WHEN command = 'claim' AND f.state = 'draft' THEN 'publishing' WHEN command = 'commit' AND f.state = 'publishing' THEN 'committed' WHEN command = 'complete' AND f.state = 'committed' THEN 'completed' ELSE f.state END,
-CASE WHEN (command = 'claim' AND f.state = 'draft') OR (command = 'commit' AND f.state = 'publishing') OR (command = 'complete' AND f.state = 'committed') THEN 'applied'
-WHEN (command = 'commit' AND f.state = 'committed') OR (command = 'complete' AND f.state = 'completed') THEN 'repeated' ELSE 'conflict' END FROM f JOIN c ON c.key = f.key AND c.n = f.n + 1)"""
-
-
-@query(FSM + " SELECT id, state, outcome FROM f")
-def publication_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draft, publishing, committed, completed; commit and complete may be repeated."""
-    rows = views.requests(spark, sf_dir).select("key", "ts_ms", "id", (F.floor("value").cast("int") % 3).alias("arg"))
-    return folds.fold(rows, folds.publication, "id long, state string, outcome string")
-
-
 @query(views.sql("requests") + ", d AS (SELECT key, ts_ms // 86400000 AS day, max(struct_pack(t := ts_ms, i := id)) AS last FROM requests GROUP BY 1, 2) SELECT key, day, last.i AS id, day = max(day) OVER (PARTITION BY key) AS is_current FROM d")
 def archive_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current row of each key, and the last row of every earlier day as archive."""

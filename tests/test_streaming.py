@@ -13,7 +13,6 @@ CASES = {
     "suppressor": (folds.suppressor(350), "id long, ok boolean"),
     "compare_and_set": (folds.compare_and_set, "id long, ok boolean, version long"),
     "lease": (folds.lease(500, 100), "id long, ok boolean, until long"),
-    "publication": (folds.publication, "id long, state string, outcome string"),
 }
 
 
