@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.operators import commands, folds, timed
+from inkstream.operators import commands, folds, quotas, timed
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
 from inkstream.sources.views import DAY_MS, load
@@ -132,6 +132,37 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.evidence_ledger(even.union(docs.where("doc_id % 2 = 1").select(draft, "source")), fetched)
 
 
+QUOTAS = (
+    views.sql("requests", recursive=True)
+    + """, r AS (SELECT id, id % 700 AS k, ts_ms // 4 AS ts, 'c' || key % 6 AS caller, CASE CAST(floor(value) AS BIGINT) % 6 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS kind, id // 2100 % 2 AS digest FROM requests),
+c AS MATERIALIZED (SELECT *, ts // 3600000 AS hour, row_number() OVER (ORDER BY ts, id) AS n FROM r),
+f AS (SELECT 0::BIGINT AS n, -1::BIGINT AS id, -1::BIGINT AS hour, 0::BIGINT AS total, MAP {}::MAP(VARCHAR, BIGINT) AS callers, MAP {}::MAP(BIGINT, STRUCT(digest BIGINT, stage BIGINT, lease BIGINT, gone BIGINT)) AS records, '' AS outcome
+UNION ALL SELECT n, id, hour, total::BIGINT, CASE WHEN new THEN map_concat(callers, MAP {caller: used::BIGINT}) ELSE callers END,
+CASE WHEN new AND fits THEN map_concat(records, MAP {k: {'digest': digest, 'stage': 1::BIGINT, 'lease': ts + 120000, 'gone': ts + 86400000}}) WHEN NOT live OR digest <> x.digest THEN records
+WHEN kind = 0 AND x.stage = 1 AND ts >= x.lease THEN map_concat(records, MAP {k: {'digest': digest, 'stage': 1::BIGINT, 'lease': ts + 120000, 'gone': ts + 86400000}})
+WHEN kind = x.stage THEN map_concat(records, MAP {k: {'digest': digest, 'stage': (x.stage + 1)::BIGINT, 'lease': x.lease, 'gone': ts + 86400000}}) ELSE records END,
+CASE WHEN new THEN CASE WHEN fits THEN 'claimed' ELSE 'rate-limited' END WHEN NOT live THEN 'refused' WHEN digest <> x.digest THEN CASE WHEN kind = 0 THEN 'conflict' ELSE 'refused' END
+WHEN kind = 0 THEN CASE x.stage WHEN 3 THEN 'completed' WHEN 2 THEN 'dispatched' ELSE CASE WHEN ts >= x.lease THEN 'claimed' ELSE 'busy' END END
+WHEN kind = x.stage THEN CASE kind WHEN 1 THEN 'dispatched' ELSE 'completed' END ELSE 'refused' END
+FROM (SELECT *, used <= 4 AND total <= 20 AS fits FROM (SELECT *, CASE WHEN new THEN coalesce(callers[caller], 0) + 1 END AS used, sofar + CASE WHEN new THEN 1 ELSE 0 END AS total FROM (SELECT *, kind = 0 AND NOT live AS new FROM (
+SELECT c.*, f.records, CASE WHEN f.hour = c.hour THEN f.callers ELSE MAP {}::MAP(VARCHAR, BIGINT) END AS callers, CASE WHEN f.hour = c.hour THEN f.total ELSE 0 END AS sofar, f.records[c.k] AS x, coalesce(c.ts < f.records[c.k].gone, false) AS live
+FROM f JOIN c ON c.n = f.n + 1)))))
+SELECT id, outcome FROM f WHERE n > 0"""
+)
+
+
+@query(QUOTAS)
+def ledger_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's commands when a caller may make four new claims an hour and all together twenty; time runs fourfold."""
+    v = F.floor("value").cast("long") % 6
+    kind = F.when(v == 4, 1).when(v == 5, 2).otherwise(0)
+    found = views.requests(spark, sf_dir).select(
+        "id", (F.col("id") % 700).alias("key"), F.floor(F.col("ts_ms") / 4).alias("ts_ms"), F.concat(F.lit("c"), (F.col("key") % 6).cast("string")).alias("caller"),
+        kind.cast("long").alias("kind"), (F.floor(F.col("id") / 2100) % 2).alias("digest"),
+    )
+    return quotas.ledger(found)
+
+
 PUBLICATION = dict(kind="v % 3", claim="id % 2", sha="v % 2")
 PUBLISHED = (
     scan(
