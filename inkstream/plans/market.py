@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkstream.functions.canonical import in_locale
 from inkstream.functions.text import aed_compact, round_half_up
 from inkstream.operators import pictures
 from inkstream.plans.registrar import Registrar
@@ -268,11 +269,12 @@ def image_hold_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(pictures.hold_reasons(), ",").alias("reasons"))
 
 
-@query("SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END + CASE WHEN c_nationkey = 1 THEN 1 ELSE 0 END DESC, c_name, c_custkey) AS rn FROM customer) WHERE rn <= 50")
+@query("SELECT c_nationkey AS region, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END DESC, c_name COLLATE \"de\", c_custkey) AS place FROM customer")
 def areas_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 50 by computed priority, then name."""
-    priority = F.when(F.col("c_acctbal") > 0, 2).otherwise(0) + F.when(F.col("c_nationkey") == 1, 1).otherwise(0)
-    return load(spark, sf_dir, "customer").orderBy(priority.desc(), "c_name", "c_custkey").limit(50).select("c_custkey", "c_name")
+    """All of each region by computed priority, then by name in a reader's order."""
+    priority = F.when(F.col("c_acctbal") > 0, 2).otherwise(0) + F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    order = W.partitionBy("c_nationkey").orderBy(priority.desc(), in_locale(F.col("c_name")), "c_custkey")
+    return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("region"), "c_custkey", "c_name", F.row_number().over(order).alias("place"))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -24,10 +24,10 @@ def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.select(F.explode(each).alias("k"), "n").groupBy("k.kind", "k.name").agg(F.sum("n").alias("n"))
 
 
-@query(views.sql("queue_items") + " SELECT id, channel, expires_ms FROM queue_items WHERE status IN ('pending', 'edited') ORDER BY expires_ms, id LIMIT 100")
+@query(views.sql("queue_items") + " SELECT id, channel, expires_ms FROM queue_items WHERE status IN ('pending', 'edited')")
 def queue_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 open items that expire first."""
-    return views.queue_items(spark, sf_dir).where("status IN ('pending', 'edited')").orderBy("expires_ms", "id").limit(100).select("id", "channel", "expires_ms")
+    """All open items, those that expire first ahead."""
+    return views.queue_items(spark, sf_dir).where("status IN ('pending', 'edited')").orderBy("expires_ms", "id").select("id", "channel", "expires_ms")
 
 
 @query(views.sql("queue_items") + f" SELECT id, channel, expires_ms FROM queue_items WHERE status IN ('pending', 'edited') AND expires_ms > {QUEUE_NOW} AND expires_ms <= {QUEUE_NOW} + 40 * 3600000")
