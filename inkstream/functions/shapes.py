@@ -19,6 +19,11 @@ HTTPS = r"(?i)^\s*https:(?://)?(?![^/?#\\]*@)[^\s/?#:@\\<>^|%]+(?::(?:0*443)?)?(
 LONGEST_URL = 2048
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def kind_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
@@ -78,9 +83,8 @@ class Text(Kind):
     pattern: str | None = None
 
     def ok(self, value: Column) -> Column:
-        text = text_of(value)
-        good = bounded(text, self.least, self.most)
-        return good & text.rlike(self.pattern) if self.pattern else good
+        fits = lambda text: bounded(text, self.least, self.most)
+        return bind(text_of(value), lambda text: fits(text) & text.rlike(self.pattern) if self.pattern else fits(text))
 
 
 class Iso(Kind):
@@ -92,8 +96,7 @@ class Https(Kind):
     """An https address without user, fragment or odd port."""
 
     def ok(self, value: Column) -> Column:
-        text = text_of(value)
-        return bounded(text, 1, LONGEST_URL) & text.rlike(HTTPS)
+        return bind(text_of(value), lambda text: bounded(text, 1, LONGEST_URL) & text.rlike(HTTPS))
 
 
 @dataclass(frozen=True)
@@ -121,8 +124,8 @@ class Items(Kind):
     most: int
 
     def ok(self, value: Column) -> Column:
-        found = items(value)
-        return F.size(found).between(self.least, self.most) & F.forall(found, lambda x: F.coalesce(self.each.ok(x), F.lit(False)))
+        every = lambda found: F.forall(found, lambda x: F.coalesce(self.each.ok(x), F.lit(False)))
+        return bind(items(value), lambda found: F.size(found).between(self.least, self.most) & every(found))
 
 
 @dataclass(frozen=True)
@@ -138,17 +141,23 @@ class Record(Kind):
     rule: Callable[[Column], Column] | None = None
 
     def ok(self, value: Column) -> Column:
-        found = entries(value)
+        return bind(entries(value), self._holds)
+
+    def _holds(self, found: Column) -> Column:
         good = found.isNotNull()
         if self.closed:
             good = good & F.forall(F.map_keys(found), lambda k: k.isin(*self.fields, *self.optional))
         for name, kind in self.fields.items():
-            good = good & F.coalesce(kind.ok(F.try_element_at(found, F.lit(name))), F.lit(False))
+            good = good & _of(kind, F.try_element_at(found, F.lit(name)))
         for name, kind in self.optional.items():
-            good = good & (~F.map_contains_key(found, name) | F.coalesce(kind.ok(F.try_element_at(found, F.lit(name))), F.lit(False)))
+            good = good & (~F.map_contains_key(found, name) | _of(kind, F.try_element_at(found, F.lit(name))))
         return good & F.coalesce(self.rule(found), F.lit(False)) if self.rule else good
 
 
+def _of(kind: Kind, value: Column) -> Column:
+    return bind(value, lambda v: F.coalesce(kind.ok(v), F.lit(False)))
+
+
 @dataclass(frozen=True)
 class Optional(Kind):
     """Not there at all, or of the kind; a null is there."""

@@ -48,7 +48,11 @@ class House:
 
 def urls(article: Column) -> Column:
     """Addresses of an article's citations."""
-    cited = shapes.items(F.try_variant_get(article, "$.citations", "variant"))
+    return shapes.bind(shapes.entries(article), _urls)
+
+
+def _urls(found: Column) -> Column:
+    cited = shapes.items(F.try_element_at(found, F.lit("citations")))
     return F.transform(cited, lambda c: shapes.text_of(F.try_variant_get(c, "$.url", "variant")))
 
 
@@ -59,7 +63,10 @@ def article_error(article: Column, house: House, now_ms: int) -> Column:
     more than five minutes, modifiedAt not before it, the slug begins with its day (then ``slug day``), citations
     repeat no address (``citations twice``), and the picture lies below the slug.
     """
-    found = shapes.entries(article)
+    return shapes.bind(shapes.entries(article), lambda found: _article_error(found, house, now_ms))
+
+
+def _article_error(found: Column, house: House, now_ms: int) -> Column:
     at = lambda name: F.try_element_at(found, F.lit(name))
     text = lambda name: shapes.text_of(at(name))
     published, modified = shapes.millis(text("publishedAt")), shapes.millis(text("modifiedAt"))
@@ -68,7 +75,7 @@ def article_error(article: Column, house: House, now_ms: int) -> Column:
     hero = Record({"src": Text(1, 4096), "alt": Text(1, 300), "credit": Text(1, 300)}, rule=lambda m: shapes.text_of(F.try_element_at(m, F.lit("src"))) == cover)
     to = rf"(?i)^{_quoted(house.cta)}(?:[?#]|$)"
     cta = Record({"href": Https(), "label": Text(1, 240)}, rule=lambda m: shapes.text_of(F.try_element_at(m, F.lit("href"))).rlike(to))
-    cited = urls(article)
+    once = shapes.bind(_urls(found), lambda cited: F.size(F.array_distinct(cited)) == F.size(cited))
     return shapes.first_failure([
         ("article", found.isNotNull()), ("fields", F.forall(F.map_keys(found), lambda k: k.isin(*ARTICLE))),
         ("slug", slug_valid(text("slug"))), ("title", Text(8, 90).ok(at("title"))), ("subtitle", Text(1, 300).ok(at("subtitle"))),
@@ -77,7 +84,7 @@ def article_error(article: Column, house: House, now_ms: int) -> Column:
         ("displayDate", Text(1, 80).ok(at("displayDate"))), ("author", text("author") == house.author), ("tier", text("tier") == house.tier),
         ("category", OneOf(CATEGORIES).ok(at("category"))), ("market", Items(OneOf(MARKETS), 1, 5).ok(at("market"))),
         ("tldr", Items(Text(1, 180), 3, 3).ok(at("tldr"))), ("body", Text(100, 80_000).ok(at("body"))), ("faq", FAQ.ok(at("faq"))),
-        ("citations", CITATIONS.ok(at("citations"))), ("citations twice", F.size(F.array_distinct(cited)) == F.size(cited)),
+        ("citations", CITATIONS.ok(at("citations"))), ("citations twice", once),
         ("heroImage", hero.ok(at("heroImage"))), ("cta", cta.ok(at("cta"))), ("distribution", DISTRIBUTION.ok(at("distribution"))),
         ("metaDescription", Optional(Text(1, 320)).ok(at("metaDescription"))),
         ("speakableSelector", Optional(Items(Text(1, 160, SELECTOR), 0, 12)).ok(at("speakableSelector"))), ("semaform", Optional(SEMAFORM).ok(at("semaform"))),
@@ -89,9 +96,11 @@ def provenance_error(provenance: Column, article: Column, house: House) -> Colum
 
     Fetched texts must be of addresses that the article cites, and a hash that stands beside a text must be its own.
     """
-    found = shapes.entries(provenance)
+    return shapes.bind(urls(article), lambda cited: shapes.bind(shapes.entries(provenance), lambda found: _provenance_error(found, cited, house)))
+
+
+def _provenance_error(found: Column, cited: Column, house: House) -> Column:
     at = lambda name: F.try_element_at(found, F.lit(name))
-    cited = urls(article)
 
     def bound(m: Column) -> Column:
         text = shapes.text_of(F.try_element_at(m, F.lit("text")))
