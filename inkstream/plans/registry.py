@@ -111,12 +111,22 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PATHS = "^/[a-z]"  # paths of content on the test pages; a newsroom passes its own
 LEAST_TITLE, MOST_TITLE = 2, 200
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+CUT = '(<a href="/[a-z]{6,}">)[^<]*(</a>)'
 
 
 def headline_from_url(url: Column) -> Column:
-    """The last part of a path as words, each with a capital: what stands in for a link without a usable text."""
-    slug = F.regexp_replace(F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1), r"\.[a-z0-9]{2,5}$", "")
-    return F.initcap(F.trim(F.regexp_replace(slug, r"[-_\s]+", " ")))
+    """The last part of a path, decoded, as words with a capital each: what stands in for a link without a usable text.
+
+    Other letters stay as they are; an address that can't be decoded gives an empty text.
+    """
+    slug = F.regexp_extract(url, r"^[^?#]*?([^/?#]+)/*(?:[?#].*)?$", 1)
+    plain = F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B")))
+    spaced = F.trim(F.regexp_replace(plain, r"[-_\s]+", " "))
+    capital = lambda w: F.concat(F.translate(F.substring(w, 1, 1), LOWER, UPPER), w.substr(F.lit(2), F.length(w)))
+    return F.coalesce(F.array_join(F.transform(F.split(spaced, r"(?<=[^A-Za-z0-9_])(?=[A-Za-z0-9_])"), capital), ""), F.lit(""))
 
 
 def candidate_links(pages: DataFrame, paths: str, least: int, most: int, limit: int = 15) -> DataFrame:
@@ -133,19 +143,24 @@ def candidate_links(pages: DataFrame, paths: str, least: int, most: int, limit:
     titled = F.transform(found, lambda x: F.struct(x["url"].alias("url"), F.when(F.length(x["text"]).between(least, most), x["text"]).otherwise(headline_from_url(x["url"])).alias("title"), x["href"].alias("href")))
     page = F.regexp_replace("url", "/+$", "")
     good = F.filter(titled, lambda x: x["href"].rlike(paths) & x["url"].startswith(F.concat(origin, F.lit("/"))) & (F.regexp_replace(x["url"], "/+$", "") != page) & F.length(x["title"]).between(least, most))
-    first = F.filter(F.transform(good, lambda x, i: F.struct(x["url"].alias("url"), x["title"].alias("title"), (F.array_position(F.transform(good, lambda y: y["url"]), x["url"]) == i + 1).alias("new"))), lambda x: x["new"])
-    return pages.select("page_id", F.posexplode(F.slice(first, 1, limit)).alias("position", "l")).select("page_id", "position", "l.url", "l.title")
+    # Addresses without repeats keep the order of their first links, so no link is compared with all others.
+    addresses = F.slice(F.array_distinct(F.transform("good", lambda x: x["url"])), 1, limit)
+    first = F.transform(addresses, lambda u: F.element_at(F.filter("good", lambda x: x["url"] == u), 1))
+    return pages.select("page_id", good.alias("good")).select("page_id", F.posexplode(first).alias("position", "l")).select("page_id", "position", "l.url", "l.title")
 
 
 @query(
-    rf"""WITH a AS (SELECT page_id, rtrim(url, '/') AS page, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, unnest(regexp_extract_all(html, '{SQL_HREF}', 1)) AS href, unnest(regexp_extract_all(html, '{SQL_HREF}', 2)) AS inner_html, generate_subscripts(regexp_extract_all(html, '{SQL_HREF}', 1), 1) AS k FROM pages),
-b AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN origin || href END AS url, trim(regexp_replace(regexp_replace(inner_html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM a),
-c AS (SELECT page_id, url, title, k, row_number() OVER (PARTITION BY page_id, url ORDER BY k) AS again FROM b WHERE regexp_matches(href, '{PATHS}') AND starts_with(url, origin || '/') AND rtrim(url, '/') <> page AND length(title) BETWEEN {LEAST_TITLE} AND {MOST_TITLE})
+    rf"""WITH p0 AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '{CUT}', '\1<img>\2', 'g') ELSE html END AS html FROM pages), a AS (SELECT page_id, rtrim(url, '/') AS page, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, unnest(regexp_extract_all(html, '{SQL_HREF}', 1)) AS href, unnest(regexp_extract_all(html, '{SQL_HREF}', 2)) AS inner_html, generate_subscripts(regexp_extract_all(html, '{SQL_HREF}', 1), 1) AS k FROM p0),
+b AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN origin || href END AS url, trim(regexp_replace(regexp_replace(inner_html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t, regexp_extract(href, '/([a-z]{{6,}})$', 1) AS slug FROM a),
+b2 AS (SELECT * REPLACE (CASE WHEN length(t) BETWEEN {LEAST_TITLE} AND {MOST_TITLE} THEN t ELSE upper(slug[1]) || slug[2:] END AS t) FROM b), c0 AS (SELECT *, t AS title FROM b2),
+c AS (SELECT page_id, url, title, k, row_number() OVER (PARTITION BY page_id, url ORDER BY k) AS again FROM c0 WHERE regexp_matches(href, '{PATHS}') AND starts_with(url, origin || '/') AND rtrim(url, '/') <> page AND length(title) BETWEEN {LEAST_TITLE} AND {MOST_TITLE})
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS position, url, title FROM c WHERE again = 1 QUALIFY position < 15"""
 )
 def page_candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 15 distinct content links of each page in page order, with their texts."""
-    return candidate_links(load(spark, sf_dir, "pages").select("page_id", "url", "html"), PATHS, LEAST_TITLE, MOST_TITLE)
+    """Up to 15 distinct content links of each page in page order, with their texts; on a third of the pages links show pictures."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", CUT, "$1<img>$2")).otherwise(F.col("html"))
+    return candidate_links(pages.withColumn("html", html), PATHS, LEAST_TITLE, MOST_TITLE)
 
 
 @query(
