@@ -71,6 +71,12 @@ def truncate_words(text: Column, most: int, reserved: int | Column = 0) -> Colum
     return F.when(F.length(text) <= budget, text).otherwise(short)
 
 
+def escape_html(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
 def escape_xml(text: Column) -> Column:
     for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         text = F.replace(text, F.lit(plain), F.lit(coded))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.functions import text as T
-from inkstream.operators import clusters, similarity
+from inkstream.operators import clusters, digest, similarity
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
 from inkstream.sources.store import written
@@ -187,6 +187,33 @@ def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.concat(F.lpad(F.col("n").cast("string"), digits, F.lit("0")), F.lit(". "), "title").alias("line"))
 
 
+DESK = digest.Masthead("The Desk", "https://news.example", "https://desk.example/", "Reply to this mail")
+DIGEST = r"""r AS (SELECT market, slug, title, category::VARCHAR AS category, array_to_string(list_slice(list_filter(string_split_regex(body, '[ \t\n\r]+'), lambda x: x <> ''), 13, 40), ' ') AS sub,
+row_number() OVER (PARTITION BY market ORDER BY published_ms DESC, ord) AS n FROM articles WHERE status IS DISTINCT FROM 'research' AND published_ms > 1735689600000 - 86400000),
+i AS (SELECT *, CASE WHEN n < 10 THEN '0' ELSE '' END || n AS no, 'https://news.example/news/' || slug || '?utm_source=newsletter&utm_medium=email&utm_campaign=daily-digest' AS link FROM r)"""
+SQL_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(
+    views.sql("articles")
+    + f""", {DIGEST} SELECT market, 'Daily Read — Wednesday, 1 January · ' || count(*) || CASE WHEN count(*) = 1 THEN ' article' ELSE ' articles' END AS subject,
+'The Desk — Daily Read' || chr(10) || 'Wednesday, 1 January 2025' || chr(10) || chr(10) || repeat('─', 20) || chr(10) || chr(10) || string_agg(no || '. ' || title || chr(10) || sub || chr(10) || '→ ' || link || chr(10), chr(10) ORDER BY n)
+|| chr(10) || repeat('─', 20) || chr(10) || chr(10) || 'https://desk.example/?utm_source=newsletter&utm_medium=email&utm_campaign=daily-digest&utm_content=footer-cta' || chr(10) || chr(10) || 'Reply to this mail' || chr(10) || chr(10) || 'Unsubscribe: {{{{ UnsubscribeURL }}}}' || chr(10) AS text,
+'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Daily Read — Wednesday, 1 January 2025</title></head><body><div style="display:none">' || {SQL_ESCAPED.format("coalesce(nullif(max(sub) FILTER (WHERE n = 1), ''), 'The day''s reading.')")}
+|| '</div><table role="presentation" width="100%" style="max-width:600px"><tr><th>The Desk<br>Wednesday, 1 January 2025</th></tr>' || chr(10)
+|| string_agg('<tr><td><small>' || no || ' · ' || category || '</small><br><a href="' || link || '"><b>' || {SQL_ESCAPED.format("title")} || '</b></a><p>' || {SQL_ESCAPED.format("sub")} || '</p></td></tr>', chr(10) ORDER BY n)
+|| chr(10) || '<tr><td><a href="https://desk.example/?utm_source=newsletter&utm_medium=email&utm_campaign=daily-digest&utm_content=footer-cta">The Desk</a><br>Reply to this mail<br><a href="{{{{ UnsubscribeURL }}}}">Unsubscribe</a></td></tr></table></body></html>' AS html
+FROM i GROUP BY market"""
+)
+def digest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's articles of each market as a mail: subject, text and HTML."""
+    live = views.articles(spark, sf_dir).where(~F.col("status").eqNullSafe("research") & (F.col("published_ms") > NOW_MS - DAY_MS))
+    n = F.row_number().over(W.partitionBy("market").orderBy(F.desc("published_ms"), "ord"))
+    subtitle = F.array_join(F.slice(views.words("body"), 13, 28), " ")
+    rows = live.select(F.col("market").alias("group"), n.alias("n"), "slug", "title", subtitle.alias("subtitle"), F.col("category").cast("string").alias("category"))
+    return digest.documents(rows, DESK, "2025-01-01").withColumnRenamed("group", "market")
+
+
 @query(views.sql("articles") + " SELECT slug, published_ms FROM articles WHERE status IS DISTINCT FROM 'research' AND published_ms > 1735689600000 - 172800000 AND published_ms <= 1735689600000 ORDER BY published_ms DESC, ord LIMIT 1000")
 def news_sitemap_48h(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.articles(spark, sf_dir).where(~F.col("status").eqNullSafe("research") & (F.col("published_ms") > NOW_MS - 2 * DAY_MS) & (F.col("published_ms") <= NOW_MS))
