@@ -71,19 +71,37 @@ def verticals(articles: DataFrame, rules: list[Vertical]) -> DataFrame:
 SHARED, LIKE, CONTAINED = 4, 0.44, 0.72
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
+FEW = 40  # sets that share a key, up to which they are compared with each other
+
+
+def near_pairs(classes: DataFrame, few: int = FEW) -> DataFrame:
     """(a, b) of word sets (cls, tokens) that share four words or more and are similar or contained enough.
 
-    Sets that share four words have one in common among all but three of each, the most frequent left out.
+    Words are ranked from rare to frequent. The k-th rarest word that two such sets share has 4 - k shared ones behind
+    it in either, so it is among the first n - 4 + k. A word that up to ``few`` sets have there is a key by itself; a
+    more frequent one is a key only together with each next word, and so on up to four words.
     """
     exploded = classes.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).where(F.col("n") >= SHARED)
-    frequency = exploded.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = exploded.join(frequency, F.col("token") == F.col("t"), "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(W.partitionBy("cls").orderBy("df", "token"))  # a set has a headline's few words
-    keys = written(ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - SHARED + 1) & (F.col("df") > 1)).select("cls", "token"))
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    frequency = exploded.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df"))
+    ranked = exploded.join(frequency, F.col("token") == F.col("t")).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    rows = written(ranked.select("cls", F.transform("r", lambda x: x["token"]).alias("words")))
+    rows = rows.withColumn("at", F.lit(0)).withColumn("key", F.lit(0).cast("long"))
+    found = []
+    for k in range(1, SHARED + 1):
+        last = F.size("words") - SHARED + k
+        steps = rows.where(F.col("at") < last).select("cls", "words", F.explode(F.sequence(F.col("at") + 1, last)).alias("at"), F.col("key").alias("before"))
+        keys = written(steps.select("cls", "words", "at", F.xxhash64("before", F.element_at("words", F.col("at"))).alias("key")))
+        sizes = keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        shared = written(keys.join(sizes, F.col("key") == F.col("k")).drop("k"))
+        light = shared if k == SHARED else shared.where(F.col("sets") <= few)
+        one, other = light.select("cls", "key").alias("x"), light.select("cls", "key").alias("y")
+        found.append(one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
+        rows = shared.where(F.col("sets") > few).drop("sets")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
     sets = classes.select("cls", "tokens")
-    full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
+    full = pairs.distinct().join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     common, one, two = F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb")
     return full.where((common >= SHARED) & ((common / (one + two - common) >= LIKE) | (common / F.least(one, two) >= CONTAINED))).select("a", "b")
 

@@ -16,8 +16,6 @@ query = Registrar()
 #: Dimensions for the invented prose of the test tables; a newsroom passes its own.
 AREAS = {"north": ("the thon", "onthe"), "south": ("de la",), "east": ("der die", "und die"), "west": ("was of", "of the")}
 DEVELOPERS = {"acme": ("ouen",), "birch": ("thon", "the thon"), "cedar": ("attion to",)}
-ACTIVE = {"acme": ("north", "east"), "birch": ("south",), "cedar": ()}
-RECORDED = {"north": ("Cedar Attion To",), "south": ("Ouen Group", "thon"), "east": (), "west": ("nobody",)}
 VERTICALS = {"homes": (0, 1), "policy": (2,), "capital": (3, 4, 1)}
 LIVE = "status IS DISTINCT FROM 'research'"
 
@@ -54,19 +52,6 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mentions(_live(spark, sf_dir).select(F.col("slug").alias("article"), _text().alias("text")), "text", DEVELOPERS | AREAS).select("article", "name")
 
 
-@query(
-    "WITH " + _values("b", ACTIVE) + ", " + _values("r", RECORDED) + ", " + _values("d", DEVELOPERS)
-    + """, a AS (SELECT slug, alias FROM d UNION SELECT DISTINCT slug, slug FROM d)
-SELECT alias AS area, slug AS developer FROM b UNION SELECT r.slug, a.slug FROM r JOIN a ON contains(' ' || trim(regexp_replace(lower(r.alias), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || a.alias || ' ')"""
-)
-def area_developers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Developers of each area: by their list of areas, or by a recorded name that holds a phrase of theirs."""
-    active = spark.createDataFrame([(a, d) for d, areas in ACTIVE.items() for a in areas], "area string, developer string")
-    recorded = spark.createDataFrame([(a, n) for a, names in RECORDED.items() for n in names], "area string, recorded string")
-    aliases = {d: (d, *names) for d, names in DEVELOPERS.items()}
-    return active.union(entities.mentions(recorded, "recorded", aliases).select("area", "name")).distinct()
-
-
 @query(views.sql("articles") + ", v(vertical, c) AS (VALUES " + ", ".join(f"('{v}', {c})" for v, cs in VERTICALS.items() for c in cs) + f") SELECT slug, vertical FROM articles JOIN v ON category = c WHERE {LIVE}")
 def article_verticals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verticals whose categories hold the article's: an equi-join with a fixed bridge."""
@@ -74,12 +59,6 @@ def article_verticals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live(spark, sf_dir).join(F.broadcast(bridge), F.col("category") == F.col("c")).select("slug", "vertical")
 
 
-@query("WITH " + _values("b", ACTIVE) + " SELECT slug AS developer, alias AS area FROM b")
-def developer_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(d, list(a)) for d, a in ACTIVE.items()], "developer string, areas array<string>")
-    return rows.select("developer", F.explode("areas").alias("area"))
-
-
 # Rules of a vertical: curated slugs, categories, words that exclude and keywords.
 @query(
     views.sql("articles")
