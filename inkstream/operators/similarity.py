@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,13 +38,18 @@ def jaccard_pairs(classes: DataFrame, least: float) -> DataFrame:
     return full.withColumn("sim", jaccard(F.col("ta"), F.col("tb"))).where(F.col("sim") >= least).select("a", "b", "sim")
 
 
-def greedy_keep(rows: DataFrame, groups: list[str], neighbours: DataFrame, most_rounds: int = 200) -> DataFrame:
+ROUNDS, LEFT = 6, 50_000  # after so many rounds, a rest of up to so many rows is scanned by one task
+
+
+def greedy_keep(rows: DataFrame, groups: list[str], neighbours: DataFrame, rounds: int = ROUNDS, left: int = LEFT) -> DataFrame:
     """Rows (rank, group columns, others) that a scan in order of rank would keep.
 
     A row is kept unless an earlier kept row shares one of its ``groups`` values or lies in a neighbouring first group
     (``neighbours``: a, b, both ways). ``rank`` is any orderable column without ties or nulls. Rows that share nothing
     are kept at once. Of the others each round decides those that no undecided earlier row can concern; it works on the
-    smallest ranks of groups, never on pairs of rows, and carries on only what later rounds need.
+    smallest ranks of groups, never on pairs of rows, and carries on only what later rounds need. What long chains
+    leave after ``rounds`` is scanned in order if it is ``left`` rows or fewer; else the rounds go on, each deciding the
+    first row of every chain at least.
     """
     both = written(neighbours.select("a", "b").union(neighbours.select("b", "a")).distinct())
     shared = F.lit(False)
@@ -54,27 +60,62 @@ def greedy_keep(rows: DataFrame, groups: list[str], neighbours: DataFrame, most_
         shared = shared | F.col(f"__n{i}").isNotNull()
     marked = marked.join(both.select(F.col("a").alias("__a")).distinct(), F.col(groups[0]) == F.col("__a"), "left")
     marked = written(marked.withColumn("__shared", shared | F.col("__a").isNotNull()).select(*rows.columns, "__shared"))
-    done = [marked.where("NOT __shared").drop("__shared")]
+    done = marked.where("NOT __shared").drop("__shared")
     open_ = written(marked.where("__shared").drop("__shared").withColumn("__state", F.lit(0)))  # 0 undecided, 1 kept
-    for _ in range(most_rounds):
-        state = open_
-        for i, g in enumerate(groups):
-            low = open_.where(F.col(g).isNotNull()).groupBy(g).agg(F.min(F.when(F.col("__state") == 0, F.col("rank"))).alias(f"__open{i}"), F.min(F.when(F.col("__state") == 1, F.col("rank"))).alias(f"__kept{i}"))
-            if i == 0:
-                around = both.join(low.withColumnRenamed(g, "b"), "b").groupBy("a").agg(F.min("__open0").alias("__open_n"), F.min("__kept0").alias("__kept_n")).withColumnRenamed("a", g)
-                low = low.join(around, g, "left").select(g, F.least("__open0", "__open_n").alias("__open0"), F.least("__kept0", "__kept_n").alias("__kept0"))
-            state = state.join(low, g, "left")
+    turn = 0
+    while True:
+        turn += 1
+        state = _lowest(open_, groups, both)
         kept = F.least(*[f"__kept{i}" for i in range(len(groups))], F.lit(None))
         first = F.least(*[f"__open{i}" for i in range(len(groups))], F.col("rank"))
         new = F.when(F.col("__state") == 1, 1).when(kept < F.col("rank"), 2).when(first == F.col("rank"), 1).otherwise(0)
         decided = written(state.withColumn("__state", new).where("__state < 2").select(*open_.columns))
-        if decided.where("__state = 0").isEmpty():
-            done.append(decided.where("__state = 1").drop("__state"))
-            break
+        rest = decided.where("__state = 0")
+        certain = done.unionByName(decided.where("__state = 1").drop("__state"))
+        if turn < rounds:
+            if rest.isEmpty():
+                return certain
+        elif (count := rest.count()) <= left:
+            if not count:
+                return certain
+            free = _lowest(decided, groups, both).where(F.col("__state") == 0).where(F.coalesce(kept > F.col("rank"), F.lit(True)))
+            return certain.unionByName(_scanned(free.select(*rows.columns), groups, both))
         open_ = decided
-    else:
-        raise RuntimeError("the selection did not settle")
-    return done[0].unionByName(done[1])
+
+
+def _lowest(rows: DataFrame, groups: list[str], both: DataFrame) -> DataFrame:
+    """``rows`` with the smallest undecided and kept ranks in each of their groups, the first's with its neighbours'."""
+    state = rows
+    for i, g in enumerate(groups):
+        low = rows.where(F.col(g).isNotNull()).groupBy(g).agg(F.min(F.when(F.col("__state") == 0, F.col("rank"))).alias(f"__open{i}"), F.min(F.when(F.col("__state") == 1, F.col("rank"))).alias(f"__kept{i}"))
+        if i == 0:
+            around = both.join(low.withColumnRenamed(g, "b"), "b").groupBy("a").agg(F.min("__open0").alias("__open_n"), F.min("__kept0").alias("__kept_n")).withColumnRenamed("a", g)
+            low = low.join(around, g, "left").select(g, F.least("__open0", "__open_n").alias("__open0"), F.least("__kept0", "__kept_n").alias("__kept0"))
+        state = state.join(low, g, "left")
+    return state
+
+
+def _scanned(rows: DataFrame, groups: list[str], both: DataFrame) -> DataFrame:
+    """The rows that a scan keeps, one after the other in one task: for a rest of a stated size."""
+    placed = written(rows.withColumn("__pos", F.row_number().over(W.orderBy("rank"))))
+    near = both.join(placed.select(F.col(groups[0]).alias("b")).distinct(), "b").groupBy(F.col("a").alias("__a")).agg(F.collect_list("b").alias("__near"))
+    values = [F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)]
+    slim = placed.join(near, F.col(groups[0]) == F.col("__a"), "left").select("__pos", *values, F.transform("__near", lambda x: x.cast("string")).alias("near"))
+
+    def scan(found: pd.DataFrame) -> pd.DataFrame:
+        taken: list[set[str]] = [set() for _ in groups]
+        kept = []
+        for pos, *own, near in found.sort_values("__pos").itertuples(index=False):
+            if any(g is not None and g in t for g, t in zip(own, taken)) or any(n in taken[0] for n in (near if near is not None else ())):
+                continue
+            kept.append(pos)
+            for g, t in zip(own, taken):
+                if g is not None:
+                    t.add(g)
+        return pd.DataFrame({"p": kept}, dtype="int64")
+
+    kept = slim.groupBy().applyInPandas(scan, "p long")
+    return placed.join(kept, F.col("__pos") == F.col("p"), "left_semi").drop("__pos")
 
 
 def leaders(classes: DataFrame, pairs: DataFrame) -> DataFrame:
