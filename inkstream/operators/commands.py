@@ -50,6 +50,39 @@ def draft(state, ts, arg):
     return (revision, version + 1, content, claim, verified), ("touched", revision, version + 1, bool(verified))
 
 
+def review(state, ts, arg):
+    """Commands on a draft under review: 0 touch, 1 edit, 2 approve evidence, 3 approve media, 4 claim for publication.
+
+    All expect revision and content; touches and edits the version too. An edit starts a new revision: its content is
+    validated anew and both approvals go. Evidence may be approved again; media approved is fixed until an edit. A claim
+    needs both approvals and valid content, and may be repeated; nothing else changes a claimed draft.
+    """
+    revision, version, content, evidence, media, valid, claimed = state or (1, 1, 0, 0, 0, 1, 0)
+    kind, approval = arg["kind"], arg["approval"]
+    said, same = "conflict", (arg["revision"], arg["hash"]) == (revision, content)
+    if same and kind == 4:
+        if claimed:
+            said = "claimed"
+        elif evidence and media and valid:
+            said, claimed, version = "claimed", 1, version + 1
+    elif same and not claimed:
+        if kind == 2:
+            said, version = ("unchanged", version) if evidence == approval else ("evidence approved", version + 1)
+            evidence = approval
+        elif kind == 3:
+            if not media:
+                said, media, version = "media approved", approval, version + 1
+            elif media == approval:
+                said = "unchanged"
+        elif arg["version"] == version:
+            version += 1
+            said = "touched"
+            if kind == 1:
+                said, revision, content, evidence, media, valid = "edited", revision + 1, arg["new_hash"], 0, 0, arg["valid"]
+    state = (revision, version, content, evidence, media, valid, claimed)
+    return state, (said, revision, version, evidence, media, bool(valid))
+
+
 def ledger(lease_ms: int, ttl_ms: int) -> Step:
     """Commands 0 claim, 1 dispatch, 2 complete of a record bound to a payload digest, gone ``ttl_ms`` after its last change."""
 

@@ -132,6 +132,28 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.evidence_ledger(even.union(docs.where("doc_id % 2 = 1").select(draft, "source")), fetched)
 
 
+REVIEW = dict(kind="v % 5", revision="CASE WHEN v % 9 = 0 THEN 2 ELSE 1 END", version="1 + v % 3", hash="CASE WHEN v % 9 = 0 THEN 1 ELSE 0 END", new_hash="id % 2", approval="1 + id % 2", valid="CASE WHEN id % 7 = 0 THEN 0 ELSE 1 END")
+REVIEWED = (
+    views.sql("requests", recursive=True)
+    + ", r AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM requests), c AS MATERIALIZED (SELECT id, key, row_number() OVER (PARTITION BY key ORDER BY ts_ms, id) AS n, "
+    + ", ".join(f"CAST({e} AS BIGINT) AS c_{n}" for n, e in REVIEW.items())
+    + """ FROM r), f AS (SELECT NULL::BIGINT AS id, key, 0::BIGINT AS n, 1::BIGINT AS revision, 1::BIGINT AS version, 0::BIGINT AS content, 0::BIGINT AS evidence, 0::BIGINT AS media, 1::BIGINT AS valid, 0::BIGINT AS claimed, '' AS outcome FROM (SELECT DISTINCT key FROM c)
+UNION ALL SELECT id, key, n, CASE WHEN said = 'edited' THEN revision + 1 ELSE revision END, CASE WHEN said IN ('edited', 'touched', 'evidence approved', 'media approved') OR (said = 'claimed' AND claimed = 0) THEN version + 1 ELSE version END,
+CASE WHEN said = 'edited' THEN c_new_hash ELSE content END, CASE WHEN said = 'edited' THEN 0 WHEN said = 'evidence approved' THEN c_approval ELSE evidence END, CASE WHEN said = 'edited' THEN 0 WHEN said = 'media approved' THEN c_approval ELSE media END,
+CASE WHEN said = 'edited' THEN c_valid ELSE valid END, CASE WHEN said = 'claimed' THEN 1 ELSE claimed END, said FROM (
+SELECT c.*, f.* EXCLUDE (id, key, n, outcome), CASE WHEN c_revision <> f.revision OR c_hash <> f.content THEN 'conflict' WHEN c_kind = 4 THEN CASE WHEN f.claimed = 1 OR (f.evidence > 0 AND f.media > 0 AND f.valid = 1) THEN 'claimed' ELSE 'conflict' END
+WHEN f.claimed = 1 THEN 'conflict' WHEN c_kind = 2 THEN CASE WHEN f.evidence = c_approval THEN 'unchanged' ELSE 'evidence approved' END WHEN c_kind = 3 THEN CASE WHEN f.media = 0 THEN 'media approved' WHEN f.media = c_approval THEN 'unchanged' ELSE 'conflict' END
+WHEN c_version <> f.version THEN 'conflict' WHEN c_kind = 1 THEN 'edited' ELSE 'touched' END AS said FROM f JOIN c ON c.key = f.key AND c.n = f.n + 1))
+SELECT id, outcome, revision, version, evidence, media, valid = 1 AS valid FROM f WHERE n > 0"""
+)
+
+
+@query(REVIEWED)
+def draft_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits, approvals and claims of drafts under review; an edit takes both approvals away and validates anew."""
+    return folds.fold(rows(spark, sf_dir, **REVIEW), commands.review, "id long, outcome string, revision long, version long, evidence long, media long, valid boolean")
+
+
 QUOTAS = (
     views.sql("requests", recursive=True)
     + """, r AS (SELECT id, id % 700 AS k, ts_ms // 4 AS ts, 'c' || key % 6 AS caller, CASE CAST(floor(value) AS BIGINT) % 6 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS kind, id // 2100 % 2 AS digest FROM requests),

@@ -32,6 +32,15 @@ def test_draft():
     assert state == (2, 2, 5, 0, 0)
 
 
+def test_review():
+    do = lambda kind, revision=1, version=1, hash=0, approval=5, valid=1: dict(kind=kind, revision=revision, version=version, hash=hash, new_hash=9, approval=approval, valid=valid)
+    got = walk(commands.review, (0, do(4)), (1, do(2)), (2, do(2)), (3, do(3)), (4, do(3, approval=6)), (5, do(1, version=1)), (6, do(1, version=3)), (7, do(3)), (8, do(4, 2, hash=9)), (9, do(3, 2, hash=9, approval=6)), (10, do(2, 2, hash=9)), (11, do(4, 2, hash=9)), (12, do(0, 2, 7, 9)), (13, do(4, 2, hash=9)))
+    assert got == ["conflict", "evidence approved", "unchanged", "media approved", "conflict", "conflict", "edited", "conflict", "conflict", "media approved", "evidence approved", "claimed", "conflict", "claimed"]
+    state, said = commands.review((1, 3, 0, 5, 5, 1, 0), 0, do(1, version=3, valid=0))
+    assert state == (2, 4, 9, 0, 0, 0, 0) and said[1:] == (2, 4, 0, 0, False)
+    assert commands.review((2, 4, 9, 5, 5, 0, 0), 0, do(4, 2, hash=9))[1][0] == "conflict"
+
+
 def test_ledger():
     step = commands.ledger(120, 1000)
     do = lambda kind, digest=1: dict(kind=kind, digest=digest)
