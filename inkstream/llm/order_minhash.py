@@ -45,7 +45,7 @@ def kmers(codes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """``SLOTS`` 16-bit values; 0 marks an empty slot. A text without characters has only those."""
+    """``SLOTS`` 16-bit values; a text without characters has 0 in all."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
     if not len(codes):
         return np.zeros(SLOTS, np.uint16)
@@ -71,13 +71,16 @@ def fingerprint(text: str) -> np.ndarray:
     slot = (rank[best] >> shift).astype(np.int64)
     first = np.searchsorted(slot, np.arange(SLOTS + 1))
     value = np.zeros(SLOTS, np.uint64)
-    filled = first[1:] > first[:-1]
-    low = np.minimum(first[:-1], len(best) - 1)
-    chosen = np.stack([best[np.where(first[:-1] + i < first[1:], np.minimum(low + i, len(best) - 1), low)] for i in range(LENGTH)])
+    chosen = np.stack([best[np.minimum(first[:-1] + i, len(best) - 1)] for i in range(LENGTH)])
+    thin = np.flatnonzero(np.diff(first) < LENGTH)
+    if len(thin):
+        own = mix(rank[None, :] ^ mix(thin.astype(np.uint64) + np.uint64(1))[:, None])
+        least = np.argsort(own, axis=1, kind="stable")[:, :LENGTH]
+        chosen[:, thin] = least.T if len(h) >= LENGTH else least[:, [0] * LENGTH].T
     order = np.argsort(position[chosen], axis=0, kind="stable")
     for row in np.take_along_axis(kmer[chosen], order, 0):
         value = mix(value * ODD + row + np.uint64(1))
-    return np.where(filled, value % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
+    return (value % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -105,14 +105,16 @@ def plain_fingerprint(text):
         rank = plain_mix((h * odd + seen[h] + 1) & M)
         seen[h] += 1
         by_slot[rank >> (64 - (slots - 1).bit_length())].append((rank, at, h))
-    out = []
+    out, every = [], [x for some in by_slot.values() for x in some]
     for s in range(slots):
         best = sorted(by_slot[s])[:length]
-        best = sorted(best + best[:1] * (length - len(best)), key=lambda x: x[1]) if best else []
+        if len(best) < length:
+            best = sorted(every, key=lambda x: plain_mix(x[0] ^ plain_mix(s + 1)))[:length]
+        best = sorted(best + best[:1] * (length - len(best)), key=lambda x: x[1])
         value = 0
         for _, _, h in best:
             value = plain_mix((value * odd + h + 1) & M)
-        out.append(value % 65535 + 1 if best else 0)
+        out.append(value % 65535 + 1)
     return out
 
 
