@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import events as E
 from inkstream.functions import text as T
+from inkstream.functions.events import snake_case
+from inkstream.operators import interactions
 from inkstream.plans.registrar import Registrar
 from inkstream.sources.views import load
 
@@ -314,6 +316,38 @@ def event_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _token_sql(name: str, j: int) -> str:
+    low = f"left(lower(trim(list_extract(tokens, CAST((event_id + {j}) % 5 AS INT) + 1))), 96)"
+    return rf"CASE WHEN {_kinds_sql(name)} AND NOT regexp_matches({low}, '@|(?:mailto|tel):|[?&#=]') AND NOT regexp_matches({low}, '\b[0-9]{{7,}}\b') AND regexp_matches({low}, '^[a-z0-9][a-z0-9:_./ -]*$') THEN {low} END AS {snake_case(name)}"
+
+
+def _kinds_sql(name: str) -> str:
+    return "kind IN (" + ", ".join(f"'{k}'" for k, names in interactions.ALLOWED.items() if name in names) + ")"
+
+
+KINDS = tuple(interactions.ALLOWED)
+TOKENS = tuple(p for p in interactions.PROPERTIES if p not in interactions.LOCATIONS and p not in interactions.NUMBERS and p != "contentType")
+PLACES = "list_extract(['/a/' || k, 'shop.example/b', NULL, '/p/' || k], CAST((event_id + {j}) % 4 AS INT) + 1)"
+
+
+@query(
+    f"WITH e AS (SELECT event_id, list_extract([{', '.join(repr(k) for k in KINDS)}], CAST(event_id % {len(KINDS)} AS INT) + 1) AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), t AS (SELECT *, [' NAV Bar ' || k, 'id 1234567', 'me@x', 'a_b:' || k, 'ünique'] AS tokens FROM e) SELECT event_id, kind, "
+    + ", ".join(_token_sql(name, j) for j, name in enumerate(TOKENS))
+    + f", NULL::VARCHAR AS content_type, CASE WHEN {_kinds_sql('route')} THEN {PLACES.format(j=1)} END AS route, CASE WHEN {_kinds_sql('destination')} THEN {PLACES.format(j=0)} END AS destination, CASE WHEN {_kinds_sql('ctaLevel')} AND k % 5 IN (1, 2, 3) THEN k % 5 END AS cta_level, CASE WHEN {_kinds_sql('progress')} AND k % 30 * 5 IN (0, 25, 50, 75, 100) THEN k % 30 * 5 END AS progress FROM t"
+)
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every kind of event the properties that it may carry, in snake case."""
+    k, key = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
+    text = k.cast("string")
+    pick = lambda some, j: F.get(F.array(*some), ((key + j) % len(some)).cast("int"))
+    tokens = [F.concat(F.lit(" NAV Bar "), text), F.lit("id 1234567"), F.lit("me@x"), F.concat(F.lit("a_b:"), text), F.lit("ünique")]
+    places = [F.concat(F.lit("https://News.example.com/a/"), text, F.lit("?q=1")), F.lit("http://Shop.example:80/b#f"), F.lit("mailto:x@y"), F.concat(F.lit("/p/"), text, F.lit("?z"))]
+    properties = {name: pick(tokens, j) for j, name in enumerate(TOKENS)} | {"contentType": F.lit("x"), "route": pick(places, 1), "destination": pick(places, 0), "ctaLevel": k % 5, "progress": k % 30 * 5}
+    kind = pick([F.lit(x) for x in KINDS], 0)
+    rows = load(spark, sf_dir, "events").withColumn("kind", kind)
+    return rows.select("event_id", "kind", *interactions.sanitized(F.col("kind"), properties, OWN_HOST))
+
+
 @query("WITH r(slug, pos) AS (VALUES ('Customer#000000007', 0), ('Customer#000000003', 1), ('nobody', 2), ('Customer#000000005', 3)) SELECT pos, slug, c_custkey FROM r JOIN customer ON c_name = slug")
 def ordered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested names with their rows, in the order of the request; unknown ones drop out."""
