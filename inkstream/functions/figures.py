@@ -63,3 +63,19 @@ def digits_backed(figure: Column, evidence: Column) -> Column:
     """Whether the digits of a figure, two or more, occur in a row among the digits of the evidence."""
     core, all_ = (F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9]", "") for x in (figure, evidence))
     return (F.length(core) >= 2) & F.contains(all_, core)
+
+
+#: A sum of money in a headline, where case counts, and a number as the review desk marks it.
+MONEY = ascii_words(r"(?:AED|aed|USD|usd|\$|€)\s*[0-9]+(?:[.,][0-9]+)?\s*(?:M|B|K|million|billion|thousand)\b")
+DESK_NUMBER = r"(?i)(?:AED|USD|Dh|\$|€|£)?\s?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?(?:%|bps|bn|mn|billion|million|sqft|sq\.?\s?ft|M|B|K))?"
+
+
+def money(text: Column) -> Column:
+    """Sums of money in order, repeats and all."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MONEY), F.lit(0))
+
+
+def desk_numbers(text: Column) -> Column:
+    """Numbers with the currency and unit that stand at them, in order, without white space around."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DESK_NUMBER), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
