@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.operators import folds
+
 MINUTE, DAY = 60_000, 86_400_000
 State = tuple | None
 
@@ -114,12 +116,19 @@ class Publication(Machine):
         return (3, claim, started, 0, sha, 0, 0), ("completed", "archive gone", started, None, None)
 
 
-def fold(rows: DataFrame, machine: Machine, schema: str, upto_ms: int) -> DataFrame:
+END = (1 << 63) - 1  # id of the row that stands for the end of a key's time
+
+
+def fold(rows: DataFrame, machine: Machine, schema: str, upto_ms: int, block: int = folds.BLOCK) -> DataFrame:
     """Apply ``machine`` to ``rows`` (key, ts_ms, id, arg), and its own changes up to ``upto_ms``.
 
     ``schema`` names the results; key, at_ms and id (null for a change without a command) come first. A key's rows go
-    by time, then id, streamed through one task that holds its state alone. Null keys are one key.
+    by time, then id, streamed through one task that holds its state alone; where a key has more than ``block``, all
+    goes through ``folds.fold``, which cuts such keys into blocks. Null keys are one key, and no id is ``END``.
     """
+    rows = rows.select("key", "ts_ms", "id", "arg")
+    if not rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).isEmpty():
+        return _in_blocks(rows, machine, schema, upto_ms, block)
     kind = rows.schema["key"].dataType.simpleString()
     names = ["key", "at_ms", "id", *(c.split()[0] for c in schema.split(", "))]
 
@@ -139,10 +148,33 @@ def fold(rows: DataFrame, machine: Machine, schema: str, upto_ms: int) -> DataFr
             yield _frame(out, names)
         yield _frame([(last, at, None, *r) for _, at, r in machine.until(state, upto_ms)], names)
 
-    ordered = rows.select("key", "ts_ms", "id", "arg").repartition("key").sortWithinPartitions("key", "ts_ms", "id")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "ts_ms", "id")
     return ordered.mapInPandas(run, f"key {kind}, at_ms long, id long, {schema}")
 
 
+def _in_blocks(rows: DataFrame, machine: Machine, schema: str, upto_ms: int, block: int) -> DataFrame:
+    """The same as an ordered fold whose rows tell all that happens up to them; each key has a last row at ``upto_ms``."""
+    fields = [c.split()[0] for c in schema.split(", ")]
+    names = ["at_ms", "id", *fields]
+
+    def step(state, ts, row):
+        told = []
+        for state, at, results in machine.until(state, ts):
+            told.append(dict(zip(names, (at, None, *results))))
+        if row["id"] != END:
+            state, results = machine.command(state, ts, row["arg"])
+            told.append(dict(zip(names, (ts, row["id"], *results))))
+        return state, (row["key"], told)
+
+    ends = rows.select("key").distinct().select("key", F.lit(upto_ms).cast("long").alias("ts_ms"), F.lit(END).alias("id"), F.lit(None).cast(rows.schema["arg"].dataType).alias("arg"))
+    every = rows.select("key", "ts_ms", F.col("id").cast("long").alias("id"), "arg").unionByName(ends)
+    every = every.select("key", "ts_ms", "id", F.struct("key", "id", "arg").alias("arg"))
+    kind = rows.schema["key"].dataType.simpleString()
+    inner = ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in ("at_ms long", "id long", *schema.split(", ")))
+    told = folds.fold(every, step, f"last long, key {kind}, told array<struct<{inner}>>", block)
+    return told.select("key", F.explode("told").alias("t")).select("key", *[F.col(f"t.{n}").alias(n) for n in names])
+
+
 def _frame(out: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=names, dtype=object)
 

@@ -82,6 +82,19 @@ def test_batch_and_stream(spark, tmp_path, name):
     assert any(r[0] == "late" and r[2] is None for r in got)
 
 
+@pytest.mark.parametrize("name", CASES)
+def test_blocks(spark, name):
+    """A key with more commands than a block has gives the same."""
+    machine, schema = CASES[name]
+    rows = commands(name, 200)
+    arg = "arg.kind = 0" if name == "lease" else "arg"
+    table = spark.createDataFrame(rows, KIND).withColumn("arg", F.expr(arg))
+    upto = BASE + 97 * 200 + 3000
+    plain = [(k, ts, i, (a["kind"] == 0) if name == "lease" else a) for k, ts, i, a in rows]
+    found = timed.fold(table, machine, schema, upto, block=15)
+    assert sorted(map(tuple, found.collect()), key=repr) == told(machine, plain, upto)
+
+
 def test_no_rows(spark):
     rows = spark.createDataFrame([], KIND)
     assert timed.fold(rows, timed.Publication(), PUBLICATION, timed.horizon(rows)).count() == 0
