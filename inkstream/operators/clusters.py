@@ -107,7 +107,7 @@ def headline_clusters(entries: DataFrame, related: float = 0.45) -> DataFrame:
     """(ord, leader): in scan order each entry joins the first leader with a similar title, or leads itself."""
     keyed = written(entries.select("ord", scan_order().alias("rank"), F.array_sort(title_tokens(F.col("title"))).alias("tokens")))
     classes = written(similarity.token_classes(keyed, "rank"))
-    found = similarity.leaders(classes, written(similarity.jaccard_pairs(classes, related)))
+    found = written(similarity.leaders(classes, similarity.at_least(related)))
     sets = classes.select("cls", F.col("tokens").alias("t")).join(found, "cls")
     return keyed.join(sets, F.col("tokens") == F.col("t"), "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
 

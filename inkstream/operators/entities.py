@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -71,52 +70,33 @@ def verticals(articles: DataFrame, rules: list[Vertical]) -> DataFrame:
 SHARED, LIKE, CONTAINED = 4, 0.44, 0.72
 
 
-FEW = 40  # sets that share a key, up to which they are compared with each other
+def near_headlines() -> similarity.Likeness:
+    """Enough shared words, and a similarity or a containment of the smaller set that suffices."""
+    fewest = lambda n: F.greatest(F.lit(SHARED), F.ceil(n * min(CONTAINED, 2 * LIKE / (1 + LIKE)) - 1e-9))
+    like = lambda common, one, two: (common >= SHARED) & ((common / (one + two - common) >= LIKE) | (common / one >= CONTAINED))
+    return similarity.Likeness(fewest, lambda n: F.lit(SHARED), like)
 
 
-def near_pairs(classes: DataFrame, few: int = FEW) -> DataFrame:
+def near_pairs(classes: DataFrame, few: int = similarity.DEALT) -> DataFrame:
     """(a, b) of word sets (cls, tokens) that share four words or more and are similar or contained enough.
 
-    Words are ranked from rare to frequent. The k-th rarest word that two such sets share has 4 - k shared ones behind
-    it in either, so it is among the first n - 4 + k. A word that up to ``few`` sets have there is a key by itself; a
-    more frequent one is a key only together with each next word, and so on up to four words.
+    Keys that more than ``few`` sets have are dealt into blocks.
     """
-    exploded = classes.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).where(F.col("n") >= SHARED)
-    frequency = exploded.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(frequency, F.col("token") == F.col("t")).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    rows = written(ranked.select("cls", F.transform("r", lambda x: x["token"]).alias("words")))
-    rows = rows.withColumn("at", F.lit(0)).withColumn("key", F.lit(0).cast("long"))
-    found = []
-    for k in range(1, SHARED + 1):
-        last = F.size("words") - SHARED + k
-        steps = rows.where(F.col("at") < last).select("cls", "words", F.explode(F.sequence(F.col("at") + 1, last)).alias("at"), F.col("key").alias("before"))
-        keys = written(steps.select("cls", "words", "at", F.xxhash64("before", F.element_at("words", F.col("at"))).alias("key")))
-        sizes = keys.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        shared = written(keys.join(sizes, F.col("key") == F.col("k")).drop("k"))
-        light = shared if k == SHARED else shared.where(F.col("sets") <= few)
-        one, other = light.select("cls", "key").alias("x"), light.select("cls", "key").alias("y")
-        found.append(one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
-        rows = shared.where(F.col("sets") > few).drop("sets")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    sets = classes.select("cls", "tokens")
-    full = pairs.distinct().join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    common, one, two = F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb")
-    return full.where((common >= SHARED) & ((common / (one + two - common) >= LIKE) | (common / F.least(one, two) >= CONTAINED))).select("a", "b")
+    sets = similarity.ranked(classes.select("cls", "tokens").where(F.size("tokens") >= SHARED))
+    found = similarity.like_pairs(sets, sets, near_headlines(), dealt=few)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def distinct_articles(titles: DataFrame) -> DataFrame:
     """``titles`` (ord, published_ms, tokens, ...) that a scan from the newest keeps: none is near an earlier kept one.
 
     Titles without words are like no other; a null time comes last. Cut the result to the first n in the same order
-    for what a scan that stops after n would give.
+    for what a scan that stops after n would give. Of equal sets with words enough the first alone can be kept.
     """
     rank = F.struct(F.coalesce(-F.col("published_ms"), F.lit((1 << 63) - 1)).alias("newest"), F.col("ord").alias("o"))
     rows = written(titles.withColumn("rank", rank))
-    classes = written(similarity.token_classes(rows, "rank"))
-    pairs = written(near_pairs(classes))
-    # Equal sets are near each other only if they have words enough; the others stay apart.
-    enough = classes.where(F.size("tokens") >= SHARED).select("cls", F.col("tokens").alias("t"))
-    placed = rows.join(enough, F.array_sort("tokens") == F.col("t"), "left").drop("t")
-    return similarity.greedy_keep(placed, ["cls"], pairs).drop("rank", "cls")
+    many = F.coalesce(F.size("tokens") >= SHARED, F.lit(False))
+    classes = written(similarity.token_classes(rows.where(many), "rank"))
+    found = similarity.leaders(classes, near_headlines()).where(F.col("cls") == F.col("leader"))
+    first = rows.where(many).join(found.select(F.col("cls").alias("k")), F.col("ord") == F.col("k"), "left_semi")
+    return first.union(rows.where(~many)).drop("rank")
