@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import ascii_words
-
 #: Marks before a subject that say nothing.
 PREFIXES = ("RE:", "FW:", "FWD:", "PRESS RELEASE:", "FOR IMMEDIATE RELEASE:", "PR-", "MEDIA RELEASE:")
 PREFIX = "(?i)^(?:" + "|".join(map(re.escape, PREFIXES)) + r")+\s*"
@@ -43,11 +41,19 @@ def deck(body: Column, most: int = DECK) -> Column:
     return F.aggregate(pieces, start, add, lambda acc: acc["out"])
 
 
+def whole(term: str) -> str:
+    """The pattern of a term between boundaries of ASCII words, which are looked at only where the term itself stands."""
+    plain, word = re.escape(term), "[A-Za-z0-9_]"
+    before = "<!" if re.match(word, term[0]) else "<="
+    after = "!" if re.match(word, term[-1]) else "="
+    return f"{plain}(?{before}{word}{plain})(?{after}{word})"
+
+
 def tags(text: Column, terms: tuple[str, ...] = TAGS, exact: tuple[str, ...] = EXACT) -> Column:
     """The terms that stand in ``text`` as words, in lower case and in the order of the list, each once."""
     found = []
     for t in terms:
-        pattern = ("" if t in exact else "(?i)") + ascii_words(rf"\b{re.escape(t)}\b")
+        pattern = ("" if t in exact else "(?i)") + whole(t)
         found.append(F.when(F.coalesce(text, F.lit("")).rlike(pattern), F.lit(t.lower())))
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
