@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from inkstream.functions.text import plain_text
 from inkstream.operators import similarity
-from inkstream.sources.store import written
+from inkstream.sources.store import short_batches, written
 
 
 @F.pandas_udf(StringType())
@@ -31,6 +31,7 @@ def mentions(rows: DataFrame, text: str, aliases: dict[str, tuple[str, ...]]) ->
 
     The dictionary is short and fixed, so names are flags of one scan and not a join.
     """
+    short_batches(rows.sparkSession)
     held = padded(F.col(text))
     flags = []
     for name, phrases in aliases.items():

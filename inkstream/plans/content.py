@@ -12,6 +12,7 @@ from inkstream.operators.content import FORMATS
 from inkstream.operators.similarity import top
 from inkstream.plans.registrar import Registrar
 from inkstream.sources import views
+from inkstream.sources.store import short_batches
 from inkstream.sources.views import load
 
 query = Registrar()
@@ -215,6 +216,7 @@ def cite_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def draft_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts recovered from answers; no SQL, ``tests/test_content.py`` has the cases."""
+    short_batches(spark)
     answer = F.concat(F.lit('Note {"tool":1} then ```'), F.to_json(F.struct(F.col("title"), F.col("body"), F.col("points").alias("tldr"))), F.lit("``` done"))
     return _shaped(spark, sf_dir).select("slug", F.md5(content.draft_json(answer)).alias("digest"))
 
