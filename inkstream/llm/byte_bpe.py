@@ -10,7 +10,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import struct
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,8 @@ from inkstream.llm.common import doc_rows, partitions, ship, sliced, table, text
 CHUNK = 1 << 16  # code points that a chunk owns
 OVERLAP = 1 << 10  # code points read beyond them
 LOOK = 2  # boundaries this near to a chunk's cut end may depend on what was cut off
+SHORT = 64  # bytes of a pre-token up to which those of one length are merged together
+BATCH = 1 << 20  # bytes of text whose pre-tokens are encoded together
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +46,11 @@ class Codec:
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
         self.pattern = regex.compile(pattern)
+        self.none = len(self.bytes_of)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        halves = ((get(x[:i]), get(x[i:]), r) for get in [self.ranks.get] for x, r in self.ranks.items() for i in range(1, len(x)))
+        pairs = sorted((a << 32 | b, r) for a, b, r in halves if a is not None and b is not None)
+        self.pairs, self.merged = np.array([*pairs, ((1 << 63) - 1, self.none)], np.int64).T.copy()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Neighbours are linked and pairs wait in a heap, so long pre-tokens stay near linear."""
@@ -65,14 +75,57 @@ class Codec:
                 heapq.heappush(heap, (r, left[i], stop))
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def encode_pieces(self, pieces: list[str]) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs of ids make; ``none`` where they make none."""
+        pairs = left << 32 | right
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.merged[at], self.none)
+
+    def merge_alike(self, pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """Index and packed ids of ``pieces`` of one length, none of which is a token; all take their next merge at once.
+
+        A merge takes one token from a row, so the rows that go on stay equally long.
+        """
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)]
+        ranks, at = self.rank_of(ids[:, :-1], ids[:, 1:]), np.arange(len(pieces))
+        while True:
+            first, n = ranks.argmin(1), ids.shape[1]
+            low = ranks[np.arange(len(at)), first]
+            done = low == self.none
+            if done.any():
+                packed = ids[done].astype("<u4").tobytes()
+                yield from zip(at[done].tolist(), (packed[i : i + 4 * n] for i in range(0, len(packed), 4 * n)))
+                ids, ranks, at, first, low = (x[~done] for x in (ids, ranks, at, first, low))
+            if not len(at):
+                return
+            ids[np.arange(len(at)), first] = low
+            places = np.arange(n)
+            ids = ids[places != first[:, None] + 1].reshape(-1, n - 1)
+            ranks = ranks[places[:-1] != first[:, None]].reshape(-1, n - 2)
+            for side in (first - 1, first):
+                some = np.flatnonzero((side >= 0) & (side < n - 2))
+                i = side[some]
+                ranks[some, i] = self.rank_of(ids[some, i], ids[some, i + 1])
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Make the ids of all of ``pieces`` known."""
+        known, alike = self.known, defaultdict(list)
         for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.merge(piece.encode()), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+            raw = piece.encode()
+            if raw in self.ranks or len(raw) > SHORT:
+                ids = self.merge(raw)
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                alike[len(raw)].append((piece, raw))
+        for group in alike.values():
+            known.update((group[i][0], ids) for i, ids in self.merge_alike([raw for _, raw in group]))
+
+    def encode_all(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of each text, given as its pre-tokens, as little-endian unsigned 32-bit integers."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        self.learn(chain.from_iterable(texts))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -122,8 +175,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in sliced(batches, "text"):
-            ids = [own.encode_pieces(own.pattern.findall(x.decode())) for x in texts(batch)]
+        for batch in sliced(batches, "text", BATCH):
+            ids = own.encode_all([own.pattern.findall(x.decode()) for x in texts(batch)])
             yield table(**{c: batch.column(c) for c in keep}, ids=pa.array(ids, pa.binary()), decoded=pa.array(map(own.decode, ids), pa.binary()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
         text = "".join(rows["owned"])
         ends = stitch(own, text, [(s, e, np.frombuffer(x, np.int64)) for s, e, x in zip(rows["start"], rows["stop"], rows["ends"])])
         cuts = [0, *ends.tolist()]
-        ids = own.encode_pieces([text[a:b] for a, b in zip(cuts, cuts[1:])])
+        (ids,) = own.encode_all([[text[a:b] for a, b in zip(cuts, cuts[1:])]])
         return rows.iloc[:1][list(keep)].assign(ids=[ids], decoded=[own.decode(ids)])
 
     schema = f"{fields}, ids binary, decoded binary"
