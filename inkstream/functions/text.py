@@ -15,6 +15,17 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY)
 
 
+def lower(text: Column) -> Column:
+    """Lower case letter by letter, as SQL has it: wherever they stand, ``İ`` becomes ``i`` and ``Σ`` becomes ``σ``."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
+def bare_url(url: Column) -> Column:
+    """Lower-cased URL without fragment, query and ``www.`` (then https); a slash at its end stays."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"#[^\n]*\z", ""), r"\?[^\n]*\z", "")
+    return lower(F.regexp_replace(plain, r"\Ahttps?://www\.", "https://"))
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-cased URL without fragment, tracking parameters, ``www.`` (then https) and one trailing slash."""
     plain = F.regexp_replace(url, "#.*$", "")
@@ -27,7 +38,7 @@ def canonical_url(url: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """Lower case; anything but ASCII word characters and white space is a space; runs of spaces are one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9_ \t\n\r]", " "), r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(lower(title), r"[^a-z0-9_ \t\n\r]", " "), r"[ \t\n\r]+", " "))
 
 
 def title_tokens(title: Column, longer_than: int = 2) -> Column:

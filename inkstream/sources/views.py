@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstream.functions.text import lower
+
 NOW_MS = 1735689600000  # 2025-01-01 UTC
 HOUR_MS = 3_600_000
 DAY_MS = 24 * HOUR_MS
@@ -32,7 +34,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     title = F.array_join(F.slice(words("text"), 1, 12), " ")
     number = F.substring("source", 4, 9).cast("int")
-    path = F.lower(F.array_join(F.slice(words("text"), 1, 4), "-"))
+    path = lower(F.array_join(F.slice(words("text"), 1, 4), "-"))
     return docs.select(
         F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), title.alias("title"), F.substring("text", 1, 600).alias("summary"), (number % 5).alias("tier"),
         F.concat("source", F.lit(".example.com")).alias("domain"), F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), path, F.lit("?utm_source=x")).alias("url"),

@@ -55,3 +55,9 @@ def test_atom_entries_of_odd_texts(spark, tmp_path):
     found = spark_rows(catalog.QUERIES["atom_entries"](spark, str(tmp_path)))
     assert found == duck_rows(catalog.ORACLE_SQL["atom_entries"], str(tmp_path))
     assert len(found) == 3 * len(ODD)
+
+
+def test_normal_forms_of_odd_texts(spark, tmp_path):
+    """No words, and addresses with marks and slashes of their own."""
+    odd_documents(spark, tmp_path)
+    assert spark_rows(catalog.QUERIES["normal_forms"](spark, str(tmp_path))) == duck_rows(catalog.ORACLE_SQL["normal_forms"], str(tmp_path))
