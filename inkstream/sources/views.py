@@ -29,12 +29,18 @@ def words(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda x: x != "")
 
 
+def first_words(text: str, n: int) -> Column:
+    """The first ``n`` words; what follows them isn't split."""
+    pieces = F.split(F.coalesce(F.col(text), F.lit("")), SPACE, n + 2)  # one may be empty before the first word, the last is the rest
+    return F.slice(F.filter(pieces, lambda x: x != ""), 1, n)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed entries: ord, id, title, summary, tier (0 best to 4), domain, url, published_ms, full_text."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    title = F.array_join(F.slice(words("text"), 1, 12), " ")
+    title = F.array_join(first_words("text", 12), " ")
     number = F.substring("source", 4, 9).cast("int")
-    path = lower(F.array_join(F.slice(words("text"), 1, 4), "-"))
+    path = lower(F.array_join(first_words("text", 4), "-"))
     return docs.select(
         F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), title.alias("title"), F.substring("text", 1, 600).alias("summary"), (number % 5).alias("tier"),
         F.concat("source", F.lit(".example.com")).alias("domain"), F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), path, F.lit("?utm_source=x")).alias("url"),
@@ -48,7 +54,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc"), "quality")
     joined = docs.join(labels, F.col("doc_id") == F.col("l_doc"), "left")
     return joined.select(
-        F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.array_join(F.slice(words("text"), 1, 12), " ").alias("title"), F.col("text").alias("body"),
+        F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.array_join(first_words("text", 12), " ").alias("title"), F.col("text").alias("body"),
         (F.col("doc_id") % 7).cast("int").alias("category"), F.col("lang").alias("market"), F.when(F.col("quality") == 0, "research").alias("status"), (F.lit(NOW_MS) - F.col("doc_id") * 37 * 60_000).alias("published_ms"),
     )
 

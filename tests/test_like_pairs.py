@@ -5,6 +5,7 @@ import random
 import pytest
 
 from inkstream.operators import entities, similarity
+from inkstream.sources import views
 
 
 def jaccard(a, b):
@@ -46,3 +47,11 @@ def test_no_sets_are_intersected_pair_by_pair(spark):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "array_intersect" not in plan and "arrays_overlap" not in plan
         assert pairs.count() == 50 * 49 // 2
+
+
+def test_titles_split_no_more_than_they_take(spark):
+    """The first words are those of the whole text, whatever blanks stand before, between and behind them."""
+    texts = ["", " ", None, "a", " a", "a b\n", "\n a \t b  c ", "a b c", "a b c ", " a b c d", "a\u00a0b c d e", " ".join("x" * i for i in range(1, 40))]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in table.select(views.first_words("text", 3).alias("found"), views.words("text").alias("all")).collect():
+        assert row.found == row.all[:3]
