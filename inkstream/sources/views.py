@@ -50,11 +50,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered articles: slug, title, body, category, market, status (null is live), published_ms."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    title = F.array_join(first_words("text", 12), " ")  # before the join, so that texts aren't shuffled for titles
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", title.alias("title"))
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc"), "quality")
     joined = docs.join(labels, F.col("doc_id") == F.col("l_doc"), "left")
     return joined.select(
-        F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.array_join(first_words("text", 12), " ").alias("title"), F.col("text").alias("body"),
+        F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), "title", F.col("text").alias("body"),
         (F.col("doc_id") % 7).cast("int").alias("category"), F.col("lang").alias("market"), F.when(F.col("quality") == 0, "research").alias("status"), (F.lit(NOW_MS) - F.col("doc_id") * 37 * 60_000).alias("published_ms"),
     )
 

@@ -43,3 +43,12 @@ def test_candidates_of_frequent_words(spark):
         kids = node.children()
         stack += [kids.apply(i) for i in range(kids.size())]
     assert max(metrics, default=0) < 100_000
+
+
+def test_titles_are_taken_before_labels_are_joined(spark):
+    """No text is shuffled for a title."""
+    from inkstream.sources import views
+
+    rows = views.articles(spark, "/root/testdata/sf0.001").select("ord", "title", "status")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan[plan.index("Join"):] and "split(" not in plan[: plan.index("Join")]
